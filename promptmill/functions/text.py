@@ -41,9 +41,9 @@ def split_lines(value: Column | str) -> Column:
 
 
 def split_words(value: Column | str) -> Column:
-    """Whitespace words, no empty ones."""
-    words = F.split(as_column(value), f"[{BLANK_CLASS}]+")
-    return F.filter(words, lambda word: word != "")
+    """Words between blanks; an empty array for blank text."""
+    text = strip(value)
+    return F.when(text == "", F.array().cast("array<string>")).otherwise(F.split(text, f"[{BLANK_CLASS}]+"))
 
 
 def text_after(value: Column, marker: str) -> Column:

@@ -7,14 +7,14 @@ is turned into items, items are counted per pair, and the counts are summed per
 from __future__ import annotations
 
 import keyword
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from promptmill.functions.pyparse import code_structure
-from promptmill.functions.text import as_column, split_words, strip
+from promptmill.functions.text import split_words
 
 # Fixed values of the published score.
 ORDERS = 4
@@ -23,70 +23,103 @@ PLAIN_TOKEN_WEIGHT = 0.2
 ZERO_MATCH_EPSILON = 0.1
 KEYWORDS = tuple(keyword.kwlist)
 
-# Item kinds: 1 to ORDERS are n-grams, and every pair has one marker.
-MARKER = 0
-SUBTREE = 5
-EDGE = 6
+NGRAM_KINDS = tuple(range(1, ORDERS + 1))
+SUBTREE = 1
+EDGE = 2
 
 
-def ngrams(words: Column, n: int) -> Column:
-    """Blank-joined n-grams. Words hold no blanks, so joining cannot make two grams equal."""
-    if n == 1:
-        return words
-    starts = F.sequence(F.lit(1), F.size(words) - F.lit(n - 1))
-    grams = F.transform(starts, lambda i: F.array_join(F.slice(words, i, n), " "))
-    return F.when(F.size(words) >= n, grams).otherwise(F.array().cast("array<string>"))
+def _spread(
+    pairs: DataFrame, pair: Sequence[str], partitions: int | None, prepare: Callable[[str], Column] = F.col
+) -> DataFrame:
+    """Both (prepared) texts of each pair as rows, placed by ``pair``.
 
-
-def _tagged(items: Column, kind: int, is_reference: bool) -> Column:
-    return F.transform(
-        items,
-        lambda item: F.struct(
-            F.lit(kind).alias("kind"), F.lit(is_reference).alias("is_reference"), item.alias("item")
-        ),
+    All counting below groups by ``pair`` and more, so Spark keeps this placement and
+    never shuffles the far larger item rows. Python steps have to come before it, as
+    Spark forgets a placement across them. The number of partitions is fixed (the
+    session's shuffle partitions by default), because merging partitions by the size of
+    the texts would ignore how much they grow.
+    """
+    if partitions is None:
+        partitions = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    sides = pairs.select(
+        *pair, prepare("candidate").alias("candidate"), prepare("reference").alias("reference")
+    )
+    texts = F.array(
+        F.struct(F.lit(False).alias("is_reference"), F.col("candidate").alias("text")),
+        F.struct(F.lit(True).alias("is_reference"), F.col("reference").alias("text")),
     )
+    return sides.select(*pair, F.inline(texts)).repartition(partitions, *pair)
+
+
+def _item(kind: int, item: Column) -> Column:
+    return F.struct(F.lit(kind).alias("kind"), item.alias("item"))
 
 
-def item_counts(pairs: DataFrame, pair: Sequence[str], structure: bool) -> DataFrame:
-    """How often each item occurs in the candidate and in the reference of each pair.
+def _ngram_rows(spread: DataFrame, pair: Sequence[str]) -> DataFrame:
+    """``kind, item`` rows, where kind n is an n-gram joined by blanks.
 
-    The texts are spread by ``pair`` first. Both later aggregations group by more columns
-    than that, so Spark keeps the placement and never shuffles the far larger item rows.
+    Words hold no blanks, so joining cannot make two n-grams equal. Where a text ends
+    too early for an n-gram the item is null, and a blank text keeps one row of nulls.
+    """
+    words = spread.select(*pair, "is_reference", split_words("text").alias("words"))
+    shifted = [F.slice("words", n, F.size("words")).alias(f"w{n}") for n in NGRAM_KINDS]
+    placed = words.select(*pair, "is_reference", F.inline_outer(F.arrays_zip(*shifted)))
+    grams = [F.col("w1")]
+    for n in NGRAM_KINDS[1:]:
+        grams.append(F.concat(grams[-1], F.lit(" "), F.col(f"w{n}")))
+    items = F.array(*[_item(n, gram) for n, gram in zip(NGRAM_KINDS, grams, strict=True)])
+    return placed.select(*pair, "is_reference", F.inline(items))
+
+
+def _structure_rows(spread: DataFrame, pair: Sequence[str]) -> DataFrame:
+    """``kind, item`` rows of subtrees and data-flow edges."""
+    subtrees = F.transform("text.subtrees", lambda item: _item(SUBTREE, item))
+    edges = F.transform("text.edges", lambda item: _item(EDGE, item))
+    return spread.select(*pair, "is_reference", F.inline_outer(F.concat(subtrees, edges)))
+
+
+def _clipped(items: DataFrame, pair: Sequence[str], kinds: Sequence[int], weighted: bool) -> DataFrame:
+    """One row per pair: for each kind the clipped matches and the items of both texts.
+
+    Columns are m, c, r and the kind; with ``weighted`` also wm and wr, in which plain
+    tokens count less than keywords.
     """
-    spread = pairs.select(*pair, "candidate", "reference").repartition(*pair)
-    texts = [("candidate", False), ("reference", True)]
-    columns = [split_words(strip(name)).alias(f"{name}_words") for name, _ in texts]
-    if structure:
-        columns += [code_structure(name).alias(f"{name}_tree") for name, _ in texts]
-    parsed = spread.select(*pair, *columns)
-
-    items = [_tagged(F.array(F.lit("")), MARKER, False)]
-    for name, is_reference in texts:
-        words = F.col(f"{name}_words")
-        items += [_tagged(ngrams(words, n), n, is_reference) for n in range(1, ORDERS + 1)]
-        if structure:
-            items.append(_tagged(F.col(f"{name}_tree.subtrees"), SUBTREE, is_reference))
-            items.append(_tagged(F.col(f"{name}_tree.edges"), EDGE, is_reference))
-    exploded = parsed.select(*pair, F.inline(F.concat(*items)))
     in_reference = F.col("is_reference")
-    return exploded.groupBy(*pair, "kind", "item").agg(
-        F.count_if(~in_reference).alias("in_candidate"), F.count_if(in_reference).alias("in_reference")
+    counts = items.groupBy(*pair, "kind", "item").agg(
+        F.count_if(~in_reference).alias("c"), F.count_if(in_reference).alias("r")
     )
+    both = F.least("c", "r")
+    weight = F.when(F.col("item").isin(*KEYWORDS), F.lit(1.0)).otherwise(F.lit(PLAIN_TOKEN_WEIGHT))
 
+    def total(kind: int, value: Column) -> Column:
+        chosen = (F.col("kind") == kind) & F.col("item").isNotNull()
+        return F.sum(F.when(chosen, value).otherwise(F.lit(0)))
+
+    sums = []
+    for kind in kinds:
+        sums += [
+            total(kind, both).alias(f"m{kind}"),
+            total(kind, F.col("c")).alias(f"c{kind}"),
+            total(kind, F.col("r")).alias(f"r{kind}"),
+        ]
+        if weighted:
+            factor = weight if kind == 1 else F.lit(1.0)
+            sums += [
+                total(kind, both * factor).alias(f"wm{kind}"),
+                total(kind, F.col("r") * factor).alias(f"wr{kind}"),
+            ]
+    return counts.groupBy(*pair).agg(*sums)
+
+
+def pair_ngrams(pairs: DataFrame, pair: Sequence[str], partitions: int | None = None) -> DataFrame:
+    """Clipped n-gram matches of each pair, plain and keyword-weighted."""
+    return _clipped(_ngram_rows(_spread(pairs, pair, partitions), pair), pair, NGRAM_KINDS, True)
 
-def pair_matches(counts: DataFrame, pair: Sequence[str]) -> DataFrame:
-    """Clipped matches and totals per pair and item kind, plain and keyword-weighted."""
-    weight = F.when(
-        (F.col("kind") == 1) & ~F.col("item").isin(*KEYWORDS), F.lit(PLAIN_TOKEN_WEIGHT)
-    ).otherwise(F.lit(1.0))
-    both = F.least("in_candidate", "in_reference")
-    return counts.groupBy(*pair, "kind").agg(
-        F.sum(both).alias("matched"),
-        F.sum("in_candidate").alias("candidate_items"),
-        F.sum("in_reference").alias("reference_items"),
-        F.sum(both * weight).alias("weighted_matched"),
-        F.sum(F.col("in_reference") * weight).alias("weighted_reference"),
-    )
+
+def pair_structure(pairs: DataFrame, pair: Sequence[str], partitions: int | None = None) -> DataFrame:
+    """Clipped subtree and data-flow matches of each pair."""
+    spread = _spread(pairs, pair, partitions, code_structure)
+    return _clipped(_structure_rows(spread, pair), pair, (SUBTREE, EDGE), False)
 
 
 def _geometric_mean(numerators: Sequence[Column], denominators: Sequence[Column]) -> Column:
@@ -99,40 +132,30 @@ def _geometric_mean(numerators: Sequence[Column], denominators: Sequence[Column]
     return F.when(numerators[0] == 0, F.lit(0.0)).otherwise(F.exp(mean))
 
 
-def corpus_scores(matches: DataFrame, by: Sequence[str], structure: bool) -> DataFrame:
-    """Scores per group of ``by``.
+def ngram_bleu(
+    pairs: DataFrame, pair: Sequence[str], by: Sequence[str] = (), partitions: int | None = None
+) -> DataFrame:
+    """The plain (precision) and the keyword-weighted (recall) n-gram match per group of ``by``.
 
     A pair adds at least one n-gram of every order to a denominator, even if its texts
-    are too short to have any; the markers tell how many pairs there are.
+    are too short to have any.
     """
-    kinds = range(1, ORDERS + 1)
-
-    def total(kind: int, column: Column | str) -> Column:
-        return F.coalesce(F.sum(F.when(F.col("kind") == kind, as_column(column))), F.lit(0)).cast("double")
 
-    def floor_one(column: str) -> Column:
-        return F.greatest(F.col(column).cast("double"), F.lit(1.0))
+    def total(value: Column) -> Column:
+        return F.coalesce(F.sum(value), F.lit(0)).cast("double")
 
-    def present(kind: int) -> Column:
-        return F.count_if(F.col("kind") == kind).cast("double")
+    def floored(name: str) -> Column:
+        return F.greatest(F.col(name).cast("double"), F.lit(1.0))
 
-    sums = [total(1, "candidate_items").alias("candidate_len"), total(1, "reference_items").alias("reference_len")]
-    for k in kinds:
+    sums = [total(F.col("c1")).alias("candidate_len"), total(F.col("r1")).alias("reference_len")]
+    for n in NGRAM_KINDS:
         sums += [
-            total(k, "matched").alias(f"m{k}"),
-            (total(k, floor_one("candidate_items")) - present(k)).alias(f"c{k}"),
-            total(k, "weighted_matched").alias(f"wm{k}"),
-            (total(k, floor_one("weighted_reference")) - present(k)).alias(f"wr{k}"),
+            total(F.col(f"m{n}")).alias(f"m{n}"),
+            total(floored(f"c{n}")).alias(f"c{n}"),
+            total(F.col(f"wm{n}")).alias(f"wm{n}"),
+            total(floored(f"wr{n}")).alias(f"wr{n}"),
         ]
-    if structure:
-        for name, kind in (("subtree", SUBTREE), ("edge", EDGE)):
-            sums += [
-                total(kind, "matched").alias(f"{name}_matched"),
-                total(kind, "reference_items").alias(f"{name}_items"),
-            ]
-    sums.append(present(MARKER).alias("pairs"))
-    joined = matches.groupBy(*by).agg(*sums)
-
+    corpus = pair_ngrams(pairs, pair, partitions).groupBy(*by).agg(*sums)
     candidate_len, reference_len = F.col("candidate_len"), F.col("reference_len")
     brevity = (
         F.when(candidate_len > reference_len, F.lit(1.0))
@@ -141,38 +164,44 @@ def corpus_scores(matches: DataFrame, by: Sequence[str], structure: bool) -> Dat
     )
 
     def bleu(top: str, bottom: str) -> Column:
-        numerators = [F.col(f"{top}{k}") for k in kinds]
-        denominators = [F.col(f"{bottom}{k}") + F.col("pairs") for k in kinds]
+        numerators = [F.col(f"{top}{n}") for n in NGRAM_KINDS]
+        denominators = [F.col(f"{bottom}{n}") for n in NGRAM_KINDS]
         return brevity * _geometric_mean(numerators, denominators)
 
-    def share(name: str) -> Column:
-        items = F.col(f"{name}_items")
-        return F.when(items > 0, F.col(f"{name}_matched") / items).otherwise(F.lit(0.0))
-
-    scored = joined.select(
-        *by, bleu("m", "c").alias("ngram_match"), bleu("wm", "wr").alias("weighted_ngram_match"),
-        *([share("subtree").alias("syntax_match"), share("edge").alias("dataflow_match")] if structure else []),
+    return corpus.select(
+        *by, bleu("m", "c").alias("ngram_match"), bleu("wm", "wr").alias("weighted_ngram_match")
     )
-    if not structure:
-        return scored
+
+
+def structure_match(
+    pairs: DataFrame, pair: Sequence[str], by: Sequence[str] = (), partitions: int | None = None
+) -> DataFrame:
+    """Share of reference subtrees and of reference data-flow edges found, per group of ``by``."""
+
+    def share(kind: int) -> Column:
+        found, wanted = F.sum(f"m{kind}"), F.sum(f"r{kind}")
+        return F.when(wanted > 0, found / wanted).otherwise(F.lit(0.0))
+
+    matches = pair_structure(pairs, pair, partitions)
+    return matches.groupBy(*by).agg(share(SUBTREE).alias("syntax_match"), share(EDGE).alias("dataflow_match"))
+
+
+def code_bleu(
+    pairs: DataFrame, pair: Sequence[str], by: Sequence[str] = (), partitions: int | None = None
+) -> DataFrame:
+    """CodeBLEU and its four parts per group of ``by``; ``pair`` identifies a pair and includes ``by``.
+
+    The join sees one row per group.
+    """
+    grams, shapes = ngram_bleu(pairs, pair, by, partitions), structure_match(pairs, pair, by, partitions)
+    joined = grams.join(shapes, list(by)) if by else grams.crossJoin(shapes)
     # The public scorer lets a data-flow match of zero count as one.
+    flow = F.col("dataflow_match")
     parts = [
         F.col("ngram_match"),
         F.col("weighted_ngram_match"),
         F.col("syntax_match"),
-        F.when(F.col("dataflow_match") == 0, F.lit(1.0)).otherwise(F.col("dataflow_match")),
+        F.when(flow == 0, F.lit(1.0)).otherwise(flow),
     ]
-    total_score = reduce(lambda a, b: a + b, (F.lit(w) * p for w, p in zip(PART_WEIGHTS, parts, strict=True)))
-    return scored.withColumn("codebleu", total_score)
-
-
-def code_bleu(pairs: DataFrame, pair: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
-    """CodeBLEU and its four parts per group of ``by``; ``pair`` identifies a pair and includes ``by``."""
-    matches = pair_matches(item_counts(pairs, pair, structure=True), pair)
-    return corpus_scores(matches, by, structure=True)
-
-
-def ngram_bleu(pairs: DataFrame, pair: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
-    """The two n-gram parts alone, all on the JVM."""
-    matches = pair_matches(item_counts(pairs, pair, structure=False), pair)
-    return corpus_scores(matches, by, structure=False)
+    score = reduce(lambda a, b: a + b, (F.lit(w) * p for w, p in zip(PART_WEIGHTS, parts, strict=True)))
+    return joined.withColumn("codebleu", score)

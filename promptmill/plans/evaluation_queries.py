@@ -322,12 +322,19 @@ def neighbours(spark: SparkSession, folder: str) -> DataFrame:
 SELECT n::INT AS n, sum(m)::BIGINT AS matched, sum(c)::BIGINT AS candidate_items, sum(r)::BIGINT AS reference_items
 FROM per_pair GROUP BY n""")
 def bleu_ngrams(spark: SparkSession, folder: str) -> DataFrame:
-    matches = B.pair_matches(B.item_counts(neighbours(spark, folder), ["doc_id"], structure=False), ["doc_id"])
-    return (
-        matches.filter(F.col("kind").between(1, B.ORDERS))
-        .groupBy(F.col("kind").alias("n"))
-        .agg(*[F.sum(name).alias(name) for name in ("matched", "candidate_items", "reference_items")])
+    sums = B.pair_ngrams(neighbours(spark, folder), ["doc_id"]).agg(
+        *[F.sum(f"{side}{n}").alias(f"{side}{n}") for side in "mcr" for n in B.NGRAM_KINDS]
     )
+    by_order = [
+        F.struct(
+            F.lit(n).alias("n"),
+            F.col(f"m{n}").alias("matched"),
+            F.col(f"c{n}").alias("candidate_items"),
+            F.col(f"r{n}").alias("reference_items"),
+        )
+        for n in B.NGRAM_KINDS
+    ]
+    return sums.select(F.inline(F.array(*by_order)))
 
 
 @query(f"""WITH {sql_scores(NEIGHBOURS)}
