@@ -41,19 +41,19 @@ def subtree_signatures(tree: ast.AST) -> list[str]:
 
     Digests are built bottom-up, so the work is linear in the size of the tree.
     """
-    nodes = [tree]
+    nodes, below = [tree], []
     for node in nodes:  # parents first; the list grows while it is read
-        nodes.extend(ast.iter_child_nodes(node))
-    shapes: dict[int, str] = {}
+        children = list(ast.iter_child_nodes(node))
+        below.append((len(nodes), len(nodes) + len(children)))
+        nodes.extend(children)
+    shapes = [type(node).__name__ for node in nodes]
     inner = []
-    for node in reversed(nodes):
-        below = [shapes[id(child)] for child in ast.iter_child_nodes(node)]
-        name = type(node).__name__
-        if below:
-            text = f"{name}({' '.join(below)})"
-            name = hashlib.blake2b(text.encode(), digest_size=8).hexdigest()
-            inner.append(name)
-        shapes[id(node)] = name
+    for i in range(len(nodes) - 1, -1, -1):
+        start, end = below[i]
+        if start < end:
+            text = f"{shapes[i]}({' '.join(shapes[start:end])})"
+            shapes[i] = hashlib.blake2b(text.encode(), digest_size=8).hexdigest()
+            inner.append(shapes[i])
     return inner
 
 

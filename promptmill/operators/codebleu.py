@@ -7,7 +7,7 @@ is turned into items, items are counted per pair, and the counts are summed per
 from __future__ import annotations
 
 import keyword
-from collections.abc import Callable, Sequence
+from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -28,27 +28,25 @@ SUBTREE = 1
 EDGE = 2
 
 
-def _spread(
-    pairs: DataFrame, pair: Sequence[str], partitions: int | None, prepare: Callable[[str], Column] = F.col
-) -> DataFrame:
-    """Both (prepared) texts of each pair as rows, placed by ``pair``.
+def _spread(pairs: DataFrame, pair: Sequence[str], partitions: int | None) -> DataFrame:
+    """Both texts of each pair as rows, placed by ``pair``.
 
     All counting below groups by ``pair`` and more, so Spark keeps this placement and
-    never shuffles the far larger item rows. Python steps have to come before it, as
-    Spark forgets a placement across them. The number of partitions is fixed (the
+    never shuffles the far larger item rows. The number of partitions is fixed (the
     session's shuffle partitions by default), because merging partitions by the size of
     the texts would ignore how much they grow.
     """
-    if partitions is None:
-        partitions = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    sides = pairs.select(
-        *pair, prepare("candidate").alias("candidate"), prepare("reference").alias("reference")
-    )
     texts = F.array(
         F.struct(F.lit(False).alias("is_reference"), F.col("candidate").alias("text")),
         F.struct(F.lit(True).alias("is_reference"), F.col("reference").alias("text")),
     )
-    return sides.select(*pair, F.inline(texts)).repartition(partitions, *pair)
+    return _place(pairs.select(*pair, F.inline(texts)), pair, partitions)
+
+
+def _place(rows: DataFrame, pair: Sequence[str], partitions: int | None) -> DataFrame:
+    if partitions is None:
+        partitions = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(partitions, *pair)
 
 
 def _item(kind: int, item: Column) -> Column:
@@ -71,11 +69,17 @@ def _ngram_rows(spread: DataFrame, pair: Sequence[str]) -> DataFrame:
     return placed.select(*pair, "is_reference", F.inline(items))
 
 
-def _structure_rows(spread: DataFrame, pair: Sequence[str]) -> DataFrame:
-    """``kind, item`` rows of subtrees and data-flow edges."""
-    subtrees = F.transform("text.subtrees", lambda item: _item(SUBTREE, item))
-    edges = F.transform("text.edges", lambda item: _item(EDGE, item))
-    return spread.select(*pair, "is_reference", F.inline_outer(F.concat(subtrees, edges)))
+def _structure_rows(spread: DataFrame, pair: Sequence[str], partitions: int | None) -> DataFrame:
+    """``kind, item`` rows of subtrees and data-flow edges.
+
+    Spark forgets a placement across a Python step, so it is renewed after the parser,
+    while each text still is one row.
+    """
+    parsed = spread.select(*pair, "is_reference", code_structure("text").alias("tree"))
+    subtrees = F.transform("tree.subtrees", lambda item: _item(SUBTREE, item))
+    edges = F.transform("tree.edges", lambda item: _item(EDGE, item))
+    placed = _place(parsed, pair, partitions)
+    return placed.select(*pair, "is_reference", F.inline_outer(F.concat(subtrees, edges)))
 
 
 def _clipped(items: DataFrame, pair: Sequence[str], kinds: Sequence[int], weighted: bool) -> DataFrame:
@@ -118,8 +122,8 @@ def pair_ngrams(pairs: DataFrame, pair: Sequence[str], partitions: int | None =
 
 def pair_structure(pairs: DataFrame, pair: Sequence[str], partitions: int | None = None) -> DataFrame:
     """Clipped subtree and data-flow matches of each pair."""
-    spread = _spread(pairs, pair, partitions, code_structure)
-    return _clipped(_structure_rows(spread, pair), pair, (SUBTREE, EDGE), False)
+    rows = _structure_rows(_spread(pairs, pair, partitions), pair, partitions)
+    return _clipped(rows, pair, (SUBTREE, EDGE), False)
 
 
 def _geometric_mean(numerators: Sequence[Column], denominators: Sequence[Column]) -> Column:
@@ -191,7 +195,8 @@ def code_bleu(
 ) -> DataFrame:
     """CodeBLEU and its four parts per group of ``by``; ``pair`` identifies a pair and includes ``by``.
 
-    The join sees one row per group.
+    Both halves read the same placed texts, which Spark shuffles once. The join sees one
+    row per group.
     """
     grams, shapes = ngram_bleu(pairs, pair, by, partitions), structure_match(pairs, pair, by, partitions)
     joined = grams.join(shapes, list(by)) if by else grams.crossJoin(shapes)
