@@ -37,6 +37,14 @@ def _equals_plain(column: Column, kind: T.DataType, expected: bool | int | float
     return F.lit(False)
 
 
+def _as_text(column: Column, kind: T.DataType) -> Column:
+    if isinstance(kind, T.VariantType):
+        fraction = F.schema_of_variant(column).rlike("^(DECIMAL|DOUBLE|FLOAT)")
+        number = F.try_variant_get(column, "$", "double").cast("string")
+        return F.when(fraction, number).otherwise(F.try_variant_get(column, "$", "string"))
+    return column.cast("string")
+
+
 def matches(rows: DataFrame, name: str, expected: Any) -> Column:
     """One registry condition as a predicate that is never null."""
     if isinstance(expected, list):
@@ -51,7 +59,7 @@ def matches(rows: DataFrame, name: str, expected: Any) -> Column:
             return column.isNull() | F.is_variant_null(column)
         return column.isNull()
     if isinstance(expected, str):
-        text = F.lower(strip(column.cast("string")))
+        text = F.lower(strip(_as_text(column, kind)))
         return F.coalesce(text == F.lit(expected.strip().lower()), F.lit(False))
     return F.coalesce(_equals_plain(column, kind, expected), F.lit(False))
 
@@ -115,7 +123,7 @@ def encode_with(rows: DataFrame, load: Callable[[], Encoder], keep: Sequence[str
     """The same columns from a user's tokenizer.
 
     ``load`` runs on the executors, once per task, and returns a function from texts to
-    id lists; decorate it with ``functools.cache`` to keep one tokenizer per worker.
+    id lists.
     """
 
     @F.pandas_udf("struct<prompt_ids: array<int>, full_ids: array<int>>")
