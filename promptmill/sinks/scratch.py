@@ -4,22 +4,26 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 
 SCRATCH_CONF = "spark.checkpoint.dir"
 
 
+@cache
+def _local_folder() -> str:
+    return tempfile.mkdtemp(prefix="promptmill-")
+
+
 def scratch_root(spark: SparkSession) -> str:
     """The folder the cluster names; a machine-local one only for local sessions."""
     root = spark.conf.get(SCRATCH_CONF, None)
     if root:
         return root.rstrip("/")
-    if not spark.conf.get("spark.master", "").startswith("local"):
+    if not (spark.conf.get("spark.master", None) or "").startswith("local"):
         raise ValueError(f"Set {SCRATCH_CONF} to a folder shared by all executors.")
-    root = tempfile.mkdtemp(prefix="promptmill-")
-    spark.conf.set(SCRATCH_CONF, root)
-    return root
+    return _local_folder()
 
 
 def scratch_table(rows: DataFrame) -> DataFrame:
