@@ -24,6 +24,9 @@ BINS = 4096
 # first-N of at most this many rows is Spark's own top-k.
 SORT_BELOW = 100_000
 
+# Numbered rows are written in files of at most this many rows.
+ROWS_PER_FILE = 100_000
+
 # Ranking buckets are the leading bits of the order value; their offsets are broadcast,
 # so this is the proven bound of that table's rows.
 RANK_BITS = 16
@@ -129,17 +132,25 @@ def with_rank(rows: DataFrame, order: Sequence[str | Column], name: str) -> Data
     return _ranks_from_groups(stored, "_range", [F.col("_order")], name).drop("_order", "_range")
 
 
-def with_shuffle_rank(rows: DataFrame, key: str, seed: int, name: str = "position") -> DataFrame:
-    """Position of each row (from 0) in the seeded shuffle order.
-
-    Order values are uniform, so their leading bits make even buckets: one pass over the
-    key counts them, one shuffle by bucket ranks inside them. Ties break on the key.
-    """
+def shuffle_buckets(rows: DataFrame, key: str, seed: int) -> DataFrame:
+    """Rows plus their order value and the bucket its leading bits make."""
     valued = rows.select("*", shuffle_value(key, seed).alias("_value"))
     shift = HASH_DIGITS * 4 - RANK_BITS
-    bucketed = valued.select("*", F.shiftright("_value", shift).cast("int").alias("_bucket"))
-    ranked = _ranks_from_groups(bucketed, "_bucket", [F.col("_value"), F.col(key)], name)
-    return ranked.drop("_value", "_bucket")
+    return valued.select("*", F.shiftright("_value", shift).cast("int").alias("_bucket"))
+
+
+def rank_buckets(bucketed: DataFrame, key: str, name: str) -> DataFrame:
+    """Position of each row (from 0) in the seeded order; rows end up placed by bucket.
+
+    Order values are uniform, so the buckets are even: one pass over the key counts them,
+    one shuffle by bucket ranks inside them. Ties break on the key.
+    """
+    return _ranks_from_groups(bucketed, "_bucket", [F.col("_value"), F.col(key)], name)
+
+
+def with_shuffle_rank(rows: DataFrame, key: str, seed: int, name: str = "position") -> DataFrame:
+    """Rows plus their position (from 0) in the seeded shuffle order."""
+    return rank_buckets(shuffle_buckets(rows, key, seed), key, name).drop("_value", "_bucket")
 
 
 def _ranks_from_groups(rows: DataFrame, group: str, order: Sequence[Column], name: str) -> DataFrame:
@@ -162,61 +173,35 @@ def _ranks_from_groups(rows: DataFrame, group: str, order: Sequence[Column], nam
     )
 
 
-def _scan_runs(rows: DataFrame, order: Sequence[str]) -> tuple[DataFrame, DataFrame]:
-    """The rows, written once with running ids, and the table of their runs.
+def number_rows(rows: DataFrame, split_columns: Sequence[str], name: str = "row_number") -> DataFrame:
+    """Consecutive numbers (from 0) in scan order, without shuffling the rows.
 
-    ``order`` names the input split and, last, an ascending column inside the split. Rows
-    of one split read by one task form a run with consecutive ids. There are about as
-    many runs as Spark's scan plan has splits, which bounds the table.
+    ``rows`` come straight from a scan through row-local steps, or from ``head_n`` over
+    such a scan, so each input split named by ``split_columns`` is one run inside one
+    task. Running ids are frozen by writing the rows once; a row's number is then its
+    distance from the first id of its split plus the rows of all earlier splits. The
+    numbers depend on the data alone, not on how the cluster cut the files. The table of
+    splits, which Spark's own scan plan holds too, is broadcast if its measured size
+    allows, else joined by shuffle. Writing many files also spreads an array file, which
+    one task has to parse, over many tasks from here on.
     """
-    *split_columns, inside = order
+    split_columns = list(split_columns)
     running = rows.select("*", F.monotonically_increasing_id().alias("_run"))
-    placed = scratch_table(running.withColumn("_task", F.shiftright("_run", 33)))
+    placed = scratch_table(running, ROWS_PER_FILE)
     before = F.sum("_rows").over(
-        Window.orderBy(*split_columns, "_from").rowsBetween(Window.unboundedPreceding, -1)
+        Window.orderBy(*split_columns).rowsBetween(Window.unboundedPreceding, -1)
     )
-    runs = (
-        placed.groupBy(*split_columns, "_task")
-        .agg(F.count(F.lit(1)).alias("_rows"), F.min("_run").alias("_first"), F.min(inside).alias("_from"))
-        .select(*split_columns, "_task", "_rows", "_first", F.coalesce(before, F.lit(0)).alias("_before"))
+    splits = (
+        placed.groupBy(*split_columns)
+        .agg(F.count(F.lit(1)).alias("_rows"), F.min("_run").alias("_first"))
+        .select(*split_columns, "_first", F.coalesce(before, F.lit(0)).alias("_before"))
     )
-    return placed, runs
-
-
-def number_rows(rows: DataFrame, order: Sequence[str], name: str = "row_id") -> DataFrame:
-    """Consecutive numbers (from 0) in scan order, without shuffling the rows.
-
-    ``rows`` come from a scan through row-local steps only. A row's number is its
-    distance from the first id of its run plus the rows of all earlier runs. The runs
-    are broadcast if their measured size allows, else joined by shuffle.
-    """
-    placed, runs = _scan_runs(rows, order)
-    numbered = lookup_join(placed, runs, [*order[:-1], "_task"], ["_run"])
+    numbered = lookup_join(placed, splits, split_columns, ["_run"])
     return numbered.withColumn(name, F.col("_before") + F.col("_run") - F.col("_first")).drop(
-        "_task", "_rows", "_before", "_run", "_first"
+        "_before", "_run", "_first"
     )
 
 
-def head_of_scan(rows: DataFrame, order: Sequence[str], n: int | None) -> DataFrame:
-    """The first ``n`` rows in scan order, for rows as in ``number_rows``.
-
-    A moderate ``n`` is Spark's top-k; a larger one is a filter at the run holding the
-    ``n``-th row.
-    """
-    if n is None or n <= SORT_BELOW:
-        return head_n(rows, list(order), n)
-    placed, runs = _scan_runs(rows, order)
-    last = runs.filter((F.col("_before") < n) & (F.col("_before") + F.col("_rows") >= n)).first()
-    if last is None:
-        return placed.drop("_run", "_task")
-    keys = [*order[:-1], "_task"]
-    same = reduce(lambda a, b: a & b, (F.col(name) == F.lit(last[name]) for name in keys))
-    earlier = runs.filter(F.col("_before") < last["_before"]).select(*keys)
-    whole = placed.join(earlier, keys, "left_semi")
-    part = placed.filter(same & (F.col("_run") < last["_first"] + n - last["_before"]))
-    return whole.unionByName(part).drop("_run", "_task")
-
-
 def seeded_shuffle(rows: DataFrame, key: str, seed: int = 42) -> DataFrame:
     """Rows in an order fixed by the seed and the key, whatever the partitioning."""
     return rows.orderBy(shuffle_value(key, seed), F.col(key))

@@ -15,6 +15,9 @@ from promptmill.sinks.tables import prepared_table
 from promptmill.sources.datasets import POSITION, read_dataset, read_schema
 from promptmill.sources.registry import DatasetSpec, dataset_names, load_registry, resolve_dataset
 
+# Bits of a row id below the number of its dataset.
+DATASET_SHIFT = 40
+
 
 @dataclass(frozen=True)
 class PreparationOptions:
@@ -40,12 +43,21 @@ class PreparationOptions:
 
 
 def format_dataset(spark: SparkSession, spec: DatasetSpec, options: PreparationOptions) -> DataFrame:
-    """Scan, filter, first N, map, drop blank rows. Rows keep their file position."""
+    """Scan, filter, first N, map, number, drop blank rows.
+
+    A moderate N is Spark's top-k in file order; a larger one is a filter on the number.
+    """
+    limit = options.max_samples
+    small = limit is not None and limit <= ordering.SORT_BELOW
     scanned = read_dataset(spark, spec.path, read_schema(spec), with_position=True)
     kept = rows.row_filter(scanned, spec.row_filter)
-    kept = ordering.head_of_scan(kept, POSITION, options.max_samples)
+    if small:
+        kept = ordering.head_n(kept, POSITION, limit)
     mapped = rows.map_columns(kept, spec, POSITION, options.reuse_source)
-    return rows.drop_blank(mapped)
+    numbered = ordering.number_rows(mapped, POSITION[:2])
+    if limit is not None and not small:
+        numbered = numbered.filter(F.col("row_number") < limit)
+    return rows.drop_blank(numbered.select("row_number", "user_prompt", "assistant_response"))
 
 
 def tokenize(formatted: DataFrame, options: PreparationOptions, keep: Sequence[str]) -> DataFrame:
@@ -57,32 +69,34 @@ def tokenize(formatted: DataFrame, options: PreparationOptions, keep: Sequence[s
 
 
 def build_rows(spark: SparkSession, options: PreparationOptions) -> DataFrame:
-    """All datasets of the run, tokenised and concatenated, as one lazy plan."""
+    """All datasets of the run, tokenised and concatenated.
+
+    The row id orders rows by dataset and file position and depends on the data alone.
+    """
     registry = load_registry(spark, options.dataset_dir)
     specs = [resolve_dataset(spark, registry, options.dataset_dir, name) for name in options.names]
     parts = [
-        (spec.name, tokenize(format_dataset(spark, spec, options), options, POSITION)) for spec in specs
+        (spec.name, tokenize(format_dataset(spark, spec, options), options, ["row_number"])) for spec in specs
     ]
-    return ordering.concat_datasets(parts)
+    row_id = F.shiftleft(F.col("dataset_order").cast("bigint"), DATASET_SHIFT) + F.col("row_number")
+    return ordering.concat_datasets(parts).select(
+        row_id.alias("row_id"), "dataset", "input_ids", "labels", "attention_mask"
+    )
 
 
 def prepare_training_data(spark: SparkSession, options: PreparationOptions) -> DataFrame:
     """``row_id, dataset, input_ids, labels, attention_mask, split``.
 
-    Tokenising is the costly step, so its result is written once, to the scratch folder.
-    The row id is the position in the concatenation, so it depends on the data alone and
-    not on the cluster. ``cache_path`` keeps the numbered table for later runs. Splitting
-    then only reads the row id.
+    Tokenising is the costly step, so its result is written once: to ``cache_path``,
+    where a later run finds it again, or to the scratch folder. Splitting then only reads
+    the row id.
     """
-
-    def build() -> DataFrame:
-        numbered = ordering.number_rows(build_rows(spark, options), ["dataset_order", *POSITION])
-        return numbered.select("row_id", "dataset", "input_ids", "labels", "attention_mask")
-
     if options.cache_path:
-        prepared = prepared_table(spark, options.cache_path, build, options.overwrite_cache)
+        prepared = prepared_table(
+            spark, options.cache_path, lambda: build_rows(spark, options), options.overwrite_cache
+        )
     else:
-        prepared = build()
+        prepared = scratch_table(build_rows(spark, options))
     return ordering.label_split(prepared, "row_id", options.val_size, options.seed)
 
 

@@ -26,13 +26,13 @@ def scratch_root(spark: SparkSession) -> str:
     return _local_folder()
 
 
-def scratch_table(rows: DataFrame) -> DataFrame:
+def scratch_table(rows: DataFrame, rows_per_file: int = 0) -> DataFrame:
     """Write the rows once and read them back.
 
     This cuts the lineage, survives lost executors, and unlike a cached plan lets later
-    passes read single columns.
+    passes read single columns. ``rows_per_file`` splits what one task writes.
     """
     spark = rows.sparkSession
     path = f"{scratch_root(spark)}/promptmill/{uuid.uuid4().hex}"
-    rows.write.parquet(path)
+    rows.write.option("maxRecordsPerFile", rows_per_file).parquet(path)
     return spark.read.schema(rows.schema).parquet(path)

@@ -4,9 +4,14 @@ import pytest
 from pyspark.sql import functions as F
 
 from promptmill.operators import ordering
-from promptmill.plans.training import PreparationOptions, load_and_prepare, prepare_training_data
+from promptmill.plans.training import (
+    PreparationOptions,
+    format_dataset,
+    load_and_prepare,
+    prepare_training_data,
+)
 from promptmill.sources.benchmarks import humaneval_tasks, mbpp_tasks, read_completions, read_table, read_verdicts
-from promptmill.sources.datasets import POSITION, read_dataset, read_schema
+from promptmill.sources.datasets import read_dataset, read_schema
 from promptmill.sources.registry import DatasetSpec, dataset_names, load_registry, resolve_dataset
 from promptmill.sources.turns import dialogue_pairs
 
@@ -81,19 +86,19 @@ def many_splits(spark):
 
 
 @pytest.mark.parametrize("sort_below", [100_000, 5])
-@pytest.mark.parametrize("n", [1, 37, 180, 500])
+@pytest.mark.parametrize("n", [37, 180, 500, None])
 def test_first_n_in_file_order_after_the_filter(spark, tmp_path, monkeypatch, many_splits, sort_below, n):
     monkeypatch.setattr(ordering, "SORT_BELOW", sort_below)
+    monkeypatch.setattr(ordering, "ROWS_PER_FILE", 7)
     path = tmp_path / "rows.jsonl"
-    path.write_text("".join(json.dumps({"instruction": str(i), "lang": "py" if i % 3 else "c"}) + "\n" for i in range(400)))
+    lines = [{"instruction": str(i) if i % 7 else " ", "output": "x", "lang": "py" if i % 3 else "c"} for i in range(400)]
+    path.write_text("".join(json.dumps(line) + "\n" for line in lines))
     spec = DatasetSpec("d", str(path), {}, {"lang": "py"})
-    scan = read_dataset(spark, str(path), read_schema(spec), with_position=True).filter("lang = 'py'")
-    assert scan.rdd.getNumPartitions() > 5
-    kept = ordering.head_of_scan(scan, POSITION, n)
-    want = [i for i in range(400) if i % 3][:n]
-    assert sorted(int(r["instruction"]) for r in kept.collect()) == want
-    numbered = ordering.number_rows(kept, POSITION)
-    assert {int(r["instruction"]): r["row_id"] for r in numbered.collect()} == {v: i for i, v in enumerate(want)}
+    assert read_dataset(spark, str(path), read_schema(spec)).rdd.getNumPartitions() > 5
+    got = format_dataset(spark, spec, PreparationOptions("d", max_samples=n))
+    kept = [i for i in range(400) if i % 3][:n]
+    want = {str(v): i for i, v in enumerate(kept) if v % 7}
+    assert {r["user_prompt"]: r["row_number"] for r in got.collect()} == want
 
 
 def training_folder(tmp_path):
@@ -128,7 +133,8 @@ def test_whole_preparation(spark, tmp_path):
     folder = training_folder(tmp_path)
     options = PreparationOptions("one,two,two", folder, cutoff_len=64, max_samples=4, val_size=3)
     got = prepare_training_data(spark, options).orderBy("row_id").collect()
-    assert [r["row_id"] for r in got] == list(range(10))
+    assert [r["row_id"] >> 40 for r in got] == [0] * 2 + [1] * 4 + [2] * 4
+    assert [r["row_id"] & 0xFF for r in got] == [0, 1] + [0, 1, 2, 3] * 2
     assert [r["dataset"] for r in got] == ["one"] * 2 + ["two"] * 8
     assert sum(r["split"] == "test" for r in got) == 3
     train, none = load_and_prepare(spark, PreparationOptions("two", folder))
