@@ -158,3 +158,23 @@ def supervise(encoded: DataFrame, cutoff_len: int, keep: Sequence[str] = ()) ->
         K.mask_labels("full_ids", "boundary").alias("labels"),
         K.attention_mask("full_ids").alias("attention_mask"),
     )
+
+
+def count_stages(mapped: DataFrame, cutoff_len: int) -> DataFrame:
+    """``stage, n_rows``: mapped rows, those not blank, those left after tokenising.
+
+    One pass over the rows, whatever the number of stages.
+    """
+    present = (strip("user_prompt") != "") & (strip("assistant_response") != "")
+    encoded = encode(mapped.select("*", present.alias("present")), ["present"])
+    boundary = K.response_boundary("prompt_ids", "full_ids")
+    fits = (F.size("full_ids") <= K.check_cutoff(cutoff_len)) & K.has_supervision(
+        K.response_ids("full_ids", boundary)
+    )
+    counted = encoded.agg(
+        F.count(F.lit(1)).alias("raw"),
+        F.count_if("present").alias("not_blank"),
+        F.count_if(F.col("present") & fits).alias("supervised"),
+    )
+    stages = [F.struct(F.lit(s).alias("stage"), F.col(s).alias("n_rows")) for s in counted.columns]
+    return counted.select(F.inline(F.array(*stages)))

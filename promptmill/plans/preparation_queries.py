@@ -301,18 +301,7 @@ UNION ALL SELECT 'supervised', count(*) FROM encoded WHERE len(full_ids) <= {CUT
 def stage_counts(spark: SparkSession, folder: str) -> DataFrame:
     """Row counts after each stage, from one pass over the rows."""
     blanked = pairs(spark, folder).withColumn("instruction", F.expr(BLANKED))
-    mapped = rows.map_columns(blanked, PLAIN, KEY)
-    present = (F.col("user_prompt") != "") & (F.col("assistant_response") != "")
-    encoded = rows.encode(mapped.withColumn("present", present), [*KEY, "present"])
-    boundary = K.response_boundary("prompt_ids", "full_ids")
-    fits = (F.size("full_ids") <= CUTOFF) & K.has_supervision(K.response_ids("full_ids", boundary))
-    counted = encoded.agg(
-        F.count(F.lit(1)).alias("raw"),
-        F.count_if("present").alias("not_blank"),
-        F.count_if(F.col("present") & fits).alias("supervised"),
-    )
-    stages = [F.struct(F.lit(s).alias("stage"), F.col(s).alias("n_rows")) for s in counted.columns]
-    return counted.select(F.inline(F.array(*stages)))
+    return rows.count_stages(rows.map_columns(blanked, PLAIN), CUTOFF)
 
 
 @query("""WITH sizes AS (SELECT lang, count(*) AS n FROM documents GROUP BY lang),
