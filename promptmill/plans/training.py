@@ -23,7 +23,7 @@ DATASET_SHIFT = 40
 class PreparationOptions:
     """Settings of one preparation run, with the usual defaults."""
 
-    dataset: str
+    dataset: str | list[str]
     dataset_dir: str = "data"
     max_samples: int | None = None
     cutoff_len: int = 4096

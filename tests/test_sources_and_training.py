@@ -43,6 +43,7 @@ def test_registry_errors(spark, tmp_path):
 
 def test_dataset_names():
     assert dataset_names(" a, ,b,,a ") == ["a", "b", "a"] and dataset_names(None) == []
+    assert dataset_names([" a", "", "b,c"]) == ["a", "b,c"]
 
 
 def test_input_field_choice():
