@@ -181,12 +181,16 @@ ITEM = [
 ]
 
 
-@query(f"""WITH completions AS (SELECT {", ".join(SAMPLED)}, {sql_strip("text")} AS text FROM documents),
-tasks AS (SELECT {", ".join(ITEM)}, text AS prompt FROM benchmark)
-SELECT benchmark, task_id, sample_idx,
-  CASE WHEN benchmark = 'mbpp' THEN c.text ELSE concat({sql_strip("prompt")}, chr(10), c.text) END AS candidate,
-  prompt AS reference, concat(prompt, chr(10), 'check(f)') AS test
-FROM completions c JOIN tasks USING (benchmark, task_id)""")
+@query(f"""WITH answers AS (
+  SELECT {", ".join(SAMPLED)}, {sql_strip("string_split(text, concat('assistant', chr(10)))[-1]")} AS t FROM documents
+),
+completions AS (SELECT benchmark, task_id, sample_idx, {sql_code("t")} AS t FROM answers),
+tasks AS (SELECT {", ".join(ITEM)}, text AS reference, rtrim(text, concat(' ', chr(10))) AS head FROM benchmark),
+coded AS (SELECT *, {sql_code("t")} AS code FROM completions JOIN tasks USING (benchmark, task_id))
+SELECT benchmark, task_id, sample_idx, reference, concat(reference, chr(10), 'check(f)') AS test,
+  CASE WHEN benchmark = 'mbpp' THEN t WHEN code = '' THEN head WHEN starts_with(code, head) THEN code
+    ELSE concat(head, chr(10), code) END AS candidate
+FROM coded""")
 def pair_candidates(spark: SparkSession, folder: str) -> DataFrame:
     completions = documents(spark, folder).selectExpr(*SAMPLED, "text")
     items = table(spark, folder, "benchmark").selectExpr(
