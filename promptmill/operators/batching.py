@@ -19,7 +19,8 @@ def batch_pad(
 ) -> DataFrame:
     """Rows of the seeded order cut into batches and right-padded to the batch maximum.
 
-    ``multiple_of`` rounds the padded length up, as half-precision training wants it.
+    ``key`` identifies rows. ``multiple_of`` rounds the padded length up, as
+    half-precision training wants it.
     The token arrays are shuffled once, by ranking bucket. A batch inside one bucket finds
     its maximum there. Batches that reach over a bucket's edge, at most one per bucket,
     are measured from the key and the length alone and broadcast.

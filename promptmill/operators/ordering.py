@@ -35,7 +35,7 @@ RANK_BUCKETS = 1 << RANK_BITS
 
 def shuffle_value(key: Column | str, seed: int) -> Column:
     """A pseudo-random order value that depends on the seed and the key only."""
-    text = F.concat(F.lit(f"{seed}:"), as_column(key).cast("string"))
+    text = F.concat(F.lit(f"{seed}:"), F.coalesce(as_column(key).cast("string"), F.lit("")))
     return F.conv(F.substring(F.md5(text), 1, HASH_DIGITS), 16, 10).cast("bigint")
 
 
@@ -149,7 +149,7 @@ def rank_buckets(bucketed: DataFrame, key: str, name: str) -> DataFrame:
 
 
 def with_shuffle_rank(rows: DataFrame, key: str, seed: int, name: str = "position") -> DataFrame:
-    """Rows plus their position (from 0) in the seeded shuffle order."""
+    """Rows plus their position (from 0) in the seeded shuffle order; ``key`` identifies rows."""
     return rank_buckets(shuffle_buckets(rows, key, seed), key, name).drop("_value", "_bucket")
 
 

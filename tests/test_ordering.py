@@ -105,6 +105,11 @@ def test_repeated_keys_fail_instead_of_splitting_wrongly(spark):
         ordering.label_split(frame, "key", 2)
 
 
+def test_a_null_key_counts_as_a_row(spark):
+    frame = spark.createDataFrame([(None,), (1,), (2,), (3,)], "key bigint")
+    assert ordering.label_split(frame, "key", 0.5).filter("split = 'test'").count() == 2
+
+
 def test_colliding_order_values_break_on_the_key(spark, monkeypatch):
     monkeypatch.setattr(ordering, "shuffle_value", lambda key, seed: F.lit(7).cast("bigint"))
     chosen = ordering.label_split(spark.range(20).repartition(3), "id", 5).filter("split = 'test'")
