@@ -15,6 +15,7 @@ from promptmill.operators.metrics import mean_pass_at_k, task_pass_counts
 def test_parse_k(one):
     assert S.parse_k("10,1,5,1,0") == [1, 5, 10] and S.parse_k("") == [1] and S.parse_k(None) == [1]
     assert S.parse_k([3, 3, -1]) == [3]
+    assert S.samples_needed("10,1,5") == 10 and S.samples_needed(None) == 1
     array = lambda *v: F.array(*[F.lit(x) for x in v]).cast("array<int>")
     assert one(S.parse_k_column(array(10, 1, 5, 1, 0)), S.parse_k_column(array(-1))) == ([1, 5, 10], [1])
 
