@@ -2,28 +2,37 @@
 
 from __future__ import annotations
 
-import tempfile
+import atexit
 import uuid
-from functools import cache
 
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 
-SCRATCH_CONF = "spark.checkpoint.dir"
+from promptmill.sources import paths
 
+SCRATCH_CONF = "spark.checkpoint.dir"
+# Used where no folder is named and driver and executors are one process.
+LOCAL_FOLDER = "/tmp/checkpoints"
 
-@cache
-def _local_folder() -> str:
-    return tempfile.mkdtemp(prefix="promptmill-")
+_written: dict[str, SparkSession] = {}
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The folder the cluster names; a machine-local one only for local sessions."""
+    """The folder the cluster names; a fixed local one only for single-process sessions."""
     root = spark.conf.get(SCRATCH_CONF, None)
     if root:
         return root.rstrip("/")
-    if not (spark.conf.get("spark.master", None) or "").startswith("local"):
-        raise ValueError(f"Set {SCRATCH_CONF} to a folder shared by all executors.")
-    return _local_folder()
+    master = spark.conf.get("spark.master", None) or ""
+    if master.startswith("local") and not master.startswith("local-cluster"):
+        return LOCAL_FOLDER
+    raise ValueError(f"Set {SCRATCH_CONF} to a folder shared by all executors.")
+
+
+def new_path(spark: SparkSession) -> str:
+    """An unused folder below the scratch root, removed with the session at the latest."""
+    path = f"{scratch_root(spark)}/promptmill/{uuid.uuid4().hex}"
+    _written[path] = spark
+    return path
 
 
 def scratch_table(rows: DataFrame, rows_per_file: int = 0) -> DataFrame:
@@ -33,6 +42,25 @@ def scratch_table(rows: DataFrame, rows_per_file: int = 0) -> DataFrame:
     passes read single columns. ``rows_per_file`` splits what one task writes.
     """
     spark = rows.sparkSession
-    path = f"{scratch_root(spark)}/promptmill/{uuid.uuid4().hex}"
+    path = new_path(spark)
     rows.write.option("maxRecordsPerFile", rows_per_file).parquet(path)
     return spark.read.schema(rows.schema).parquet(path)
+
+
+def release(table: DataFrame) -> None:
+    """Remove the scratch folder that ``table`` was read from, once nothing reads it any more."""
+    folders = {file.rpartition("/")[0] for file in table.inputFiles()}
+    for path in [p for p in _written if any(folder.endswith(p.partition(":")[2] or p) for folder in folders)]:
+        paths.remove(_written.pop(path), path)
+
+
+@atexit.register
+def release_all() -> None:
+    """Remove every scratch folder of this process whose session still runs."""
+    for path, spark in list(_written.items()):
+        del _written[path]
+        try:
+            if spark.sparkContext._jsc is not None:
+                paths.remove(spark, path)
+        except (AttributeError, OSError, PySparkException):
+            pass
