@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from promptmill.llm import secrets
+from promptmill.llm import mixing, secrets, sharding, simhash
 
 Job = Callable[[SparkSession, str], DataFrame]
 
@@ -24,6 +24,21 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@_job
+def op6_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words a mix takes from every document, with sources weighing 5, 2, 1 in turn."""
+    taken = mixing.mix(_table(spark, sf_dir, "documents"), (5, 2, 1))[1]
+    return taken.select("doc_id", "size", "source_size", "target", "taken")
+
+
+@_job
+def op7_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's fingerprint and the smallest document it is linked to."""
+    return simhash.near_groups(_table(spark, sf_dir, "documents")).select(
+        "doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id"
+    )
+
+
 @_job
 def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts, digest and text form of the secrets found in every document."""
@@ -42,3 +57,22 @@ def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(listed(of(base)), 256).alias("base_sha256"),
         listed(F.col("spans")).alias("spans"),
     )
+
+
+SHARDS = tuple(f"shard-{n:03d}" for n in range(64))
+
+
+@_job
+def op10_shard_placement(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The slot and shard of every document."""
+    return sharding.place(_table(spark, sf_dir, "documents"), SHARDS).select("doc_id", "slot", "shard", "shard_name")
+
+
+_SLOT = f"('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, {sharding.KEY_DIGITS}))::BIGINT % {sharding.SLOTS}"
+SQL["op10_shard_placement"] = f"""
+WITH shards AS (SELECT string_split('{",".join(map(str, sharding.fill_table(SHARDS)))}', ',') AS filled),
+placed AS (SELECT doc_id, {_SLOT} AS slot FROM documents)
+SELECT doc_id, slot, filled[slot + 1]::INTEGER AS shard,
+       'shard-' || lpad(filled[slot + 1], 3, '0') AS shard_name
+FROM placed, shards
+"""
