@@ -41,17 +41,22 @@ def scratch_table(rows: DataFrame, rows_per_file: int = 0) -> DataFrame:
     This cuts the lineage, survives lost executors, and unlike a cached plan lets later
     passes read single columns. ``rows_per_file`` splits what one task writes.
     """
+    return stored_table(rows, rows_per_file)[0]
+
+
+def stored_table(rows: DataFrame, rows_per_file: int = 0) -> tuple[DataFrame, str]:
+    """``scratch_table`` and its folder, for callers that ``release`` it early."""
     spark = rows.sparkSession
     path = new_path(spark)
     rows.write.option("maxRecordsPerFile", rows_per_file).parquet(path)
-    return spark.read.schema(rows.schema).parquet(path)
+    return spark.read.schema(rows.schema).parquet(path), path
 
 
-def release(table: DataFrame) -> None:
-    """Remove the scratch folder that ``table`` was read from, once nothing reads it any more."""
-    folders = {file.rpartition("/")[0] for file in table.inputFiles()}
-    for path in [p for p in _written if any(folder.endswith(p.partition(":")[2] or p) for folder in folders)]:
-        paths.remove(_written.pop(path), path)
+def release(path: str) -> None:
+    """Remove a scratch folder that nothing reads any more."""
+    spark = _written.pop(path, None)
+    if spark is not None:
+        paths.remove(spark, path)
 
 
 @atexit.register
