@@ -72,6 +72,11 @@ def _before(order: Column, *keys: str) -> Window:
     return Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
 
 
+def shuffle_key(id_column: str, text_column: str, seed: int) -> Column:
+    text = F.coalesce(F.col(f"`{text_column}`"), F.lit(""))
+    return F.xxhash64(F.lit(seed), F.col(f"`{id_column}`").cast("string"), text)
+
+
 def lay_out(docs: DataFrame, id_column: str, text_column: str, source_column: str, seed: int) -> DataFrame:
     """``doc_id, source, size, key, first``: where each document begins in its source's shuffled words.
 
@@ -79,7 +84,7 @@ def lay_out(docs: DataFrame, id_column: str, text_column: str, source_column: st
     apart, so a source with a third of all rows is no single task's work.
     """
     text = F.coalesce(F.col(f"`{text_column}`"), F.lit(""))
-    key = F.xxhash64(F.lit(seed), F.col(f"`{id_column}`").cast("string"), text)
+    key = shuffle_key(id_column, text_column, seed)
     rows = scratch_table(
         docs.select(
             F.col(f"`{id_column}`").alias("doc_id"),
@@ -202,3 +207,31 @@ def mix(
         "taken", F.when(F.col("size") > 0, F.coalesce("_taken", F.lit(0))).otherwise(F.lit(0)).cast("bigint")
     )
     return pieces, counted.select("doc_id", "source", "key", "first", "size", "source_size", "target", "taken")
+
+
+def mixed_documents(
+    docs: DataFrame,
+    weights: Sequence[float],
+    share: float = 1.5,
+    most: float = 2.0,
+    id_column: str = "doc_id",
+    text_column: str = "text",
+    source_column: str = "source",
+    seed: int = 42,
+) -> DataFrame:
+    """The rows of ``docs``, all columns, each as often as the mix begins to read it.
+
+    Whole documents instead of pieces: a document enters the mix with its first word, so it
+    comes 0 to ``most`` times. Documents without words do not enter. Rows with equal id and
+    text are told apart by a number.
+    """
+    pieces, _ = mix(docs, weights, share, most, id_column, text_column, source_column, seed=seed)
+    entered = pieces.filter("start = 0").groupBy("key", "place", "first").agg(F.count(F.lit(1)).alias("_copies"))
+    nth = F.row_number().over(Window.partitionBy("key").orderBy("place", "first"))
+    copies = entered.select(F.col("key").alias("_key"), nth.alias("_nth"), "_copies")
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    key = shuffle_key(id_column, text_column, seed)
+    keyed = docs.select(*columns, key.alias("_key"))
+    numbered = keyed.withColumn("_nth", F.row_number().over(Window.partitionBy("_key").orderBy(f"`{source_column}`")))
+    repeats = F.sequence(F.lit(1), F.col("_copies").cast("int"))
+    return numbered.join(copies, ["_key", "_nth"]).withColumn("_copy", F.explode(repeats)).select(*columns)

@@ -13,7 +13,7 @@ from itertools import accumulate, combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from promptmill.llm.batches import text_slices, texts_of
@@ -52,9 +52,10 @@ def majority(hashes: np.ndarray) -> int:
 
 
 def fingerprints(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", words: int = 3) -> DataFrame:
-    """``id_column, fingerprint``, one row per input row; a map without a shuffle.
+    """``id_column, mark, fingerprint``, one row per input row; a map without a shuffle.
 
-    The fingerprint is a signed BIGINT. A text without words, and a null text, has 0.
+    The fingerprint is a signed BIGINT. A text without words, and a null text, has 0. ``mark``
+    is a hash of the text, which tells rows with equal ids apart.
     """
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -62,11 +63,17 @@ def fingerprints(docs: DataFrame, id_column: str = "doc_id", text_column: str =
             for part in text_slices(batch, text_column):
                 found = [majority(shingle_hashes(t, words)) for t in texts_of(part, text_column)]
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(id_column), pa.array(found, pa.int64())], [id_column, "fingerprint"]
+                    [part.column(id_column), part.column("_mark"), pa.array(found, pa.int64())],
+                    [id_column, "mark", "fingerprint"],
                 )
 
-    rows = docs.select(id_column, text_column)
-    return rows.mapInArrow(scan, f"`{id_column}` {dict(rows.dtypes)[id_column]}, fingerprint bigint")
+    rows = docs.select(id_column, text_column, text_mark(text_column).alias("_mark"))
+    schema = f"`{id_column}` {dict(rows.dtypes)[id_column]}, mark bigint, fingerprint bigint"
+    return rows.mapInArrow(scan, schema)
+
+
+def text_mark(text_column: str) -> Column:
+    return F.xxhash64(F.lit(7), F.col(f"`{text_column}`"))
 
 
 def slots(point: Column, radius: int) -> Column:
@@ -192,7 +199,7 @@ def near_links(points: DataFrame, radius: int = 3, slot_rows: int = SLOT_ROWS) -
 def near_groups(
     docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", words: int = 3, radius: int = 3
 ) -> DataFrame:
-    """``id_column, fingerprint, group, component_id``, one row per input row.
+    """``id_column, mark, fingerprint, group, component_id``, one row per input row.
 
     Rows whose fingerprints differ in ``radius`` bits or less are linked; ``group`` is the
     smallest fingerprint a row can reach over links, ``component_id`` the smallest id. Null
@@ -211,4 +218,23 @@ def near_groups(
     )
     least = grouped.groupBy("group").agg(F.min("least").alias("component_id"))
     labelled = grouped.join(least, "group").select("fingerprint", "group", "component_id")
-    return marked.join(labelled, "fingerprint").select(id_column, "fingerprint", "group", "component_id")
+    return marked.join(labelled, "fingerprint").select(id_column, "mark", "fingerprint", "group", "component_id")
+
+
+def keep_one(
+    docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", words: int = 3, radius: int = 3
+) -> DataFrame:
+    """The rows of ``docs``, all columns, with one row of each of ``near_groups``'s groups.
+
+    That is the row with the smallest id (a null id is the smallest), then the smallest hash
+    of the text, then the smallest other columns.
+    """
+    groups = near_groups(docs, id_column, text_column, words, radius)
+    kept = groups.groupBy("group").agg(F.min(F.struct(F.col(id_column).alias("id"), "mark")).alias("_kept"))
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    marked = docs.select(*columns, text_mark(text_column).alias("_mark"))
+    same = F.col(f"`{id_column}`").eqNullSafe(F.col("_kept.id")) & (F.col("_mark") == F.col("_kept.mark"))
+    others = [F.col(f"`{c}`") for c in docs.columns if c not in (id_column, text_column)]
+    first = F.row_number().over(Window.partitionBy(f"`{id_column}`", "_mark").orderBy(*others or [F.col("_mark")]))
+    chosen = marked.join(kept.select("_kept"), same, "left_semi").withColumn("_first", first)
+    return chosen.filter("_first = 1").select(*columns)
