@@ -212,12 +212,14 @@ def _loss(logits: np.ndarray, truth: np.ndarray) -> float:
 
 
 def identify(docs: DataFrame, model: LanguageModel, text_column: str = "text") -> DataFrame:
-    """All columns, then ``_language, _score, _accepted``: one row per input row, a map.
+    """All columns, then ``_language, _score, _accepted`` (replacing columns of those
+    names): one row per input row, a map.
 
     The language is the likeliest the model knows, the score its calibrated probability. A
     null text, and one without any letter, is ``und`` with score 0 and is not accepted; nor
     is a text whose score lies below the model's limit. Only the text is read to decide.
     """
+    docs = docs.drop("_language", "_score", "_accepted")
     letter = regex.compile(r"\p{L}")
     schema = T.StructType(list(docs.schema.fields)).add("_language", "string").add("_score", "double").add("_accepted", "boolean")
 

@@ -226,12 +226,12 @@ def mixed_documents(
     text are told apart by a number.
     """
     pieces, _ = mix(docs, weights, share, most, id_column, text_column, source_column, seed=seed)
-    entered = pieces.filter("start = 0").groupBy("key", "place", "first").agg(F.count(F.lit(1)).alias("_copies"))
+    entered = pieces.filter("start = 0").groupBy("key", "place", "first").agg(F.count(F.lit(1)).alias("__copies"))
     nth = F.row_number().over(Window.partitionBy("key").orderBy("place", "first"))
-    copies = entered.select(F.col("key").alias("_key"), nth.alias("_nth"), "_copies")
+    copies = entered.select(F.col("key").alias("__key"), nth.alias("__nth"), "__copies")
     columns = [F.col(f"`{c}`") for c in docs.columns]
     key = shuffle_key(id_column, text_column, seed)
-    keyed = docs.select(*columns, key.alias("_key"))
-    numbered = keyed.withColumn("_nth", F.row_number().over(Window.partitionBy("_key").orderBy(f"`{source_column}`")))
-    repeats = F.sequence(F.lit(1), F.col("_copies").cast("int"))
-    return numbered.join(copies, ["_key", "_nth"]).withColumn("_copy", F.explode(repeats)).select(*columns)
+    keyed = docs.select(*columns, key.alias("__key"))
+    numbered = keyed.withColumn("__nth", F.row_number().over(Window.partitionBy("__key").orderBy(f"`{source_column}`")))
+    repeats = F.sequence(F.lit(1), F.col("__copies").cast("int"))
+    return numbered.join(copies, ["__key", "__nth"]).withColumn("__copy", F.explode(repeats)).select(*columns)

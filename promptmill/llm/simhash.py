@@ -230,11 +230,11 @@ def keep_one(
     of the text, then the smallest other columns.
     """
     groups = near_groups(docs, id_column, text_column, words, radius)
-    kept = groups.groupBy("group").agg(F.min(F.struct(F.col(id_column).alias("id"), "mark")).alias("_kept"))
+    kept = groups.groupBy("group").agg(F.min(F.struct(F.col(id_column).alias("id"), "mark")).alias("__kept"))
     columns = [F.col(f"`{c}`") for c in docs.columns]
-    marked = docs.select(*columns, text_mark(text_column).alias("_mark"))
-    same = F.col(f"`{id_column}`").eqNullSafe(F.col("_kept.id")) & (F.col("_mark") == F.col("_kept.mark"))
+    marked = docs.select(*columns, text_mark(text_column).alias("__mark"))
+    same = F.col(f"`{id_column}`").eqNullSafe(F.col("__kept.id")) & (F.col("__mark") == F.col("__kept.mark"))
     others = [F.col(f"`{c}`") for c in docs.columns if c not in (id_column, text_column)]
-    first = F.row_number().over(Window.partitionBy(f"`{id_column}`", "_mark").orderBy(*others or [F.col("_mark")]))
-    chosen = marked.join(kept.select("_kept"), same, "left_semi").withColumn("_first", first)
-    return chosen.filter("_first = 1").select(*columns)
+    first = F.row_number().over(Window.partitionBy(f"`{id_column}`", "__mark").orderBy(*others or [F.col("__mark")]))
+    chosen = marked.join(kept.select("__kept"), same, "left_semi").withColumn("__first", first)
+    return chosen.filter("__first = 1").select(*columns)
