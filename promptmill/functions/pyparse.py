@@ -20,7 +20,8 @@ from pyspark.sql import types as T
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 STRUCTURE = T.StructType(
-    [T.StructField(name, T.ArrayType(T.StringType())) for name in ("subtrees", "edges")]
+    [T.StructField("parses", T.BooleanType())]
+    + [T.StructField(name, T.ArrayType(T.StringType())) for name in ("subtrees", "edges")]
 )
 
 
@@ -67,7 +68,8 @@ def dataflow_edges(tree: ast.AST) -> list[str]:
     """Where values come from, as text edges over variables numbered by first use.
 
     A target is computed from the variables read on its right-hand side; a later read
-    of a variable comes from its definition.
+    of a variable comes from its definition. Functions, classes and imports define names
+    without being computed from anything.
     """
     number: dict[str, int] = {}
     defined: set[str] = set()
@@ -91,10 +93,30 @@ def dataflow_edges(tree: ast.AST) -> list[str]:
         if isinstance(node, ast.arg):
             label(node.arg)
             defined.add(node.arg)
+        elif isinstance(node, (ast.FunctionDef, ast.AsyncFunctionDef, ast.ClassDef)):
+            defined.add(node.name)
+        elif isinstance(node, (ast.Import, ast.ImportFrom)):
+            defined.update(a.asname or a.name.partition(".")[0] for a in node.names)
+        elif isinstance(node, ast.ExceptHandler):
+            sources = _names(node.type, ast.Load)
+            read(sources)
+            write([node.name] if node.name else [], sources)
+            pending.extend(reversed(node.body))
+            continue
+        elif isinstance(node, ast.withitem):
+            sources = _names(node.context_expr, ast.Load)
+            read(sources)
+            write(_names(node.optional_vars, ast.Store), sources)
+            continue
         elif isinstance(node, (ast.Assign, ast.AnnAssign, ast.AugAssign, ast.NamedExpr)):
             targets = node.targets if isinstance(node, ast.Assign) else [node.target]
             sources = _names(node.value, ast.Load)
             stored = [name for target in targets for name in _names(target, ast.Store)]
+            # What comprehensions and := inside the value bind.
+            inner = [n for n in ast.walk(node.value) if isinstance(n, (ast.comprehension, ast.NamedExpr))] if node.value else []
+            for bound in inner:
+                source = bound.iter if isinstance(bound, ast.comprehension) else bound.value
+                write(_names(bound.target, ast.Store), _names(source, ast.Load))
             if isinstance(node, ast.AugAssign):
                 sources = stored + sources
             read(sources)
@@ -120,10 +142,11 @@ def is_valid_python(code: pd.Series) -> pd.Series:
 
 @F.pandas_udf(STRUCTURE)
 def code_structure(code: pd.Series) -> pd.DataFrame:
-    """Subtree digests and data-flow edges from one parse; empty for unparsable text."""
+    """Whether a text parses, its subtree digests and data-flow edges; empty if it does not."""
     trees = [parse_python(text) for text in code]
     return pd.DataFrame(
         {
+            "parses": [tree is not None for tree in trees],
             "subtrees": [subtree_signatures(tree) if tree else [] for tree in trees],
             "edges": [dataflow_edges(tree) if tree else [] for tree in trees],
         }

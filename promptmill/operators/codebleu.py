@@ -9,6 +9,7 @@ from __future__ import annotations
 import keyword
 from collections.abc import Sequence
 from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -26,6 +27,7 @@ KEYWORDS = tuple(keyword.kwlist)
 NGRAM_KINDS = tuple(range(1, ORDERS + 1))
 SUBTREE = 1
 EDGE = 2
+PARSES = 3
 
 
 def _spread(pairs: DataFrame, pair: Sequence[str], partitions: int | None) -> DataFrame:
@@ -49,28 +51,35 @@ def _place(rows: DataFrame, pair: Sequence[str], partitions: int | None) -> Data
     return rows.repartition(partitions, *pair)
 
 
-def _item(kind: int, item: Column) -> Column:
-    return F.struct(F.lit(kind).alias("kind"), item.alias("item"))
+def _item(kind: int, *values: Column) -> Column:
+    """An item as two hashes of its values: 128 bits, however long the values are.
+
+    The first hash of a single token is ``token_key``. A null value makes a null item.
+    """
+    present = reduce(and_, (v.isNotNull() for v in values))
+    keys = F.xxhash64(*values), F.xxhash64(F.lit(kind), *values)
+    return F.struct(F.lit(kind).alias("kind"), *[F.when(present, k).alias(f"item{n}") for n, k in enumerate(keys)])
+
+
+def token_key(token: str) -> Column:
+    return F.xxhash64(F.lit(token))
 
 
 def _ngram_rows(spread: DataFrame, pair: Sequence[str]) -> DataFrame:
-    """``kind, item`` rows, where kind n is an n-gram joined by blanks.
+    """``kind, item0, item1`` rows, where kind n is an n-gram, as hashes of fixed width.
 
-    Words hold no blanks, so joining cannot make two n-grams equal. Where a text ends
-    too early for an n-gram the item is null, and a blank text keeps one row of nulls.
+    Where a text ends too early for an n-gram the item is null, and a blank text keeps one
+    row of nulls.
     """
     words = spread.select(*pair, "is_reference", split_words("text").alias("words"))
     shifted = [F.slice("words", n, F.size("words")).alias(f"w{n}") for n in NGRAM_KINDS]
     placed = words.select(*pair, "is_reference", F.inline_outer(F.arrays_zip(*shifted)))
-    grams = [F.col("w1")]
-    for n in NGRAM_KINDS[1:]:
-        grams.append(F.concat(grams[-1], F.lit(" "), F.col(f"w{n}")))
-    items = F.array(*[_item(n, gram) for n, gram in zip(NGRAM_KINDS, grams, strict=True)])
+    items = F.array(*[_item(n, *[F.col(f"w{k}") for k in NGRAM_KINDS[:n]]) for n in NGRAM_KINDS])
     return placed.select(*pair, "is_reference", F.inline(items))
 
 
 def _structure_rows(spread: DataFrame, pair: Sequence[str], partitions: int | None) -> DataFrame:
-    """``kind, item`` rows of subtrees and data-flow edges.
+    """``kind, item0, item1`` rows of subtrees and data-flow edges, and one if the text parses.
 
     Spark forgets a placement across a Python step, so it is renewed after the parser,
     while each text still is one row.
@@ -78,8 +87,9 @@ def _structure_rows(spread: DataFrame, pair: Sequence[str], partitions: int | No
     parsed = spread.select(*pair, "is_reference", code_structure("text").alias("tree"))
     subtrees = F.transform("tree.subtrees", lambda item: _item(SUBTREE, item))
     edges = F.transform("tree.edges", lambda item: _item(EDGE, item))
+    whole = F.array(_item(PARSES, F.when(F.col("tree.parses"), F.lit(""))))
     placed = _place(parsed, pair, partitions)
-    return placed.select(*pair, "is_reference", F.inline_outer(F.concat(subtrees, edges)))
+    return placed.select(*pair, "is_reference", F.inline_outer(F.concat(subtrees, edges, whole)))
 
 
 def _clipped(items: DataFrame, pair: Sequence[str], kinds: Sequence[int], weighted: bool) -> DataFrame:
@@ -89,14 +99,15 @@ def _clipped(items: DataFrame, pair: Sequence[str], kinds: Sequence[int], weight
     tokens count less than keywords.
     """
     in_reference = F.col("is_reference")
-    counts = items.groupBy(*pair, "kind", "item").agg(
+    counts = items.groupBy(*pair, "kind", "item0", "item1").agg(
         F.count_if(~in_reference).alias("c"), F.count_if(in_reference).alias("r")
     )
     both = F.least("c", "r")
-    weight = F.when(F.col("item").isin(*KEYWORDS), F.lit(1.0)).otherwise(F.lit(PLAIN_TOKEN_WEIGHT))
+    is_keyword = F.col("item0").isin([token_key(word) for word in KEYWORDS])
+    weight = F.when(is_keyword, F.lit(1.0)).otherwise(F.lit(PLAIN_TOKEN_WEIGHT))
 
     def total(kind: int, value: Column) -> Column:
-        chosen = (F.col("kind") == kind) & F.col("item").isNotNull()
+        chosen = (F.col("kind") == kind) & F.col("item0").isNotNull()
         return F.sum(F.when(chosen, value).otherwise(F.lit(0)))
 
     sums = []
@@ -121,9 +132,9 @@ def pair_ngrams(pairs: DataFrame, pair: Sequence[str], partitions: int | None =
 
 
 def pair_structure(pairs: DataFrame, pair: Sequence[str], partitions: int | None = None) -> DataFrame:
-    """Clipped subtree and data-flow matches of each pair."""
+    """Clipped subtree and data-flow matches of each pair; c3 is 1 if the candidate parses."""
     rows = _structure_rows(_spread(pairs, pair, partitions), pair, partitions)
-    return _clipped(rows, pair, (SUBTREE, EDGE), False)
+    return _clipped(rows, pair, (SUBTREE, EDGE, PARSES), False)
 
 
 def _geometric_mean(numerators: Sequence[Column], denominators: Sequence[Column]) -> Column:
@@ -180,20 +191,28 @@ def ngram_bleu(
 def structure_match(
     pairs: DataFrame, pair: Sequence[str], by: Sequence[str] = (), partitions: int | None = None
 ) -> DataFrame:
-    """Share of reference subtrees and of reference data-flow edges found, per group of ``by``."""
+    """Share of reference subtrees and of reference data-flow edges found, per group of ``by``.
+
+    ``syntax_rate`` is the share of candidates that parse, from the same parse.
+    """
 
     def share(kind: int) -> Column:
         found, wanted = F.sum(f"m{kind}"), F.sum(f"r{kind}")
         return F.when(wanted > 0, found / wanted).otherwise(F.lit(0.0))
 
     matches = pair_structure(pairs, pair, partitions)
-    return matches.groupBy(*by).agg(share(SUBTREE).alias("syntax_match"), share(EDGE).alias("dataflow_match"))
+    return matches.groupBy(*by).agg(
+        share(SUBTREE).alias("syntax_match"),
+        share(EDGE).alias("dataflow_match"),
+        F.avg(F.col(f"c{PARSES}").cast("double")).alias("syntax_rate"),
+    )
 
 
 def code_bleu(
     pairs: DataFrame, pair: Sequence[str], by: Sequence[str] = (), partitions: int | None = None
 ) -> DataFrame:
-    """CodeBLEU and its four parts per group of ``by``; ``pair`` identifies a pair and includes ``by``.
+    """CodeBLEU, its four parts and the syntax rate per group of ``by``; ``pair`` identifies a pair and
+    includes ``by``.
 
     Both halves read the same placed texts, which Spark shuffles once. The join sees one
     row per group.

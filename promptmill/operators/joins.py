@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from promptmill.sinks.scratch import scratch_table
+
 # Text a broadcast side may hold.
 BROADCAST_BYTES = 64 << 20
 # Rows of one key that one task may have to join.
@@ -34,20 +36,22 @@ def lookup_join(
     ``identity``, its small rows are copied once per share.
     """
     on = list(on)
+    # Written, so that measuring it and joining it compute it once.
+    small = scratch_table(small)
     if measured_bytes(small) <= broadcast_bytes:
         return large.join(F.broadcast(small), on)
-    # At most one row per rows_per_task rows of the large table, so it stays small.
-    hot = (
+    # Written, so that Spark knows its size; it has a row per rows_per_task rows at most.
+    hot = scratch_table(
         large.groupBy(*on)
         .count()
         .filter(F.col("count") > rows_per_task)
         .select(*on, F.ceil(F.col("count") / F.lit(rows_per_task)).alias("_shares"))
     )
     shares = F.coalesce("_shares", F.lit(1))
-    dealt = large.join(F.broadcast(hot), on, "left").withColumn(
+    dealt = large.join(hot, on, "left").withColumn(
         "_share", F.pmod(F.xxhash64(*identity), shares)
     )
-    copied = small.join(F.broadcast(hot), on, "left").withColumn(
+    copied = small.join(hot, on, "left").withColumn(
         "_share", F.explode(F.sequence(F.lit(0).cast("bigint"), shares.cast("bigint") - F.lit(1)))
     )
     return dealt.drop("_shares").join(copied.drop("_shares"), [*on, "_share"]).drop("_share")

@@ -6,7 +6,7 @@ from collections.abc import Callable, Sequence
 from functools import reduce
 from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from promptmill.functions.scores import split_size
@@ -20,9 +20,10 @@ HASH_LIMIT = 16**HASH_DIGITS
 
 # Counting bins per narrowing pass; also what such a pass returns to the driver at most.
 BINS = 4096
-# A bin of at most this many values is sorted instead of narrowed further, and a
-# first-N of at most this many rows is Spark's own top-k.
+# A bin or range of at most this many values is sorted instead of narrowed further.
 SORT_BELOW = 100_000
+# Ranges that keys are cut into at a time.
+RANGES = 64
 
 # Numbered rows are written in files of at most this many rows.
 ROWS_PER_FILE = 100_000
@@ -92,30 +93,75 @@ def nth_smallest(values: DataFrame, n: int | Callable[[int], int], low: int, hig
             return Boundary(found["last"], n - found["below"], found["ties"])
 
 
-def head_n(rows: DataFrame, order: Sequence[str | Column], n: int | None) -> DataFrame:
+def _direction(name: str) -> tuple[Column, bool]:
+    """A column and whether it descends; a leading minus means so."""
+    return F.col(f"`{name.removeprefix('-')}`"), name.startswith("-")
+
+
+def _sorted_by(order: Sequence[str]) -> list[Column]:
+    return [column.desc() if down else column.asc() for column, down in map(_direction, order)]
+
+
+def _up_to(order: Sequence[str], last: Row, kinds: dict[str, str]) -> Column:
+    """Whether a row comes no later than ``last``; nulls come first, in a descending column last."""
+    reached = F.lit(True)
+    for name in reversed(order):
+        (column, down), value = _direction(name), last[name.removeprefix("-")]
+        here = F.lit(value).cast(kinds[name.removeprefix("-")])
+        if value is None:
+            before = column.isNotNull() if down else F.lit(False)
+        else:
+            before = column > here if down else column.isNull() | (column < here)
+        same = column.isNull() if value is None else column.eqNullSafe(here)
+        reached = F.coalesce(before, F.lit(False)) | (same & reached)
+    return reached
+
+
+def _nth_key(keys: DataFrame, order: Sequence[str], n: int) -> Row | None:
+    """The ``n``-th key (from 1) of a table that holds keys alone; None if there are fewer.
+
+    Different keys are counted and placed in ranges; the range that holds the ``n``-th is cut
+    into ranges again until it is small. Keys are different, so every cut makes progress
+    however often one repeats. Only a count per range, and one key, reach the driver.
+    """
+    counts = keys.groupBy(*keys.columns).agg(F.count(F.lit(1)).alias("_rows"))
+    while True:
+        ranged = counts.repartitionByRange(RANGES, *_sorted_by(order)).select("*", F.spark_partition_id().alias("_range"))
+        placed = scratch_table(ranged)
+        groups = placed.groupBy("_range").agg(F.sum("_rows").alias("rows"), F.count(F.lit(1)).alias("keys")).collect()
+        for group in sorted(groups, key=lambda r: r["_range"]):
+            if n <= group["rows"]:
+                break
+            n -= group["rows"]
+        else:
+            return None
+        counts = placed.filter(F.col("_range") == group["_range"]).drop("_range")
+        if group["keys"] <= max(SORT_BELOW, RANGES):
+            before = Window.orderBy(*_sorted_by(order)).rowsBetween(Window.unboundedPreceding, 0)
+            reached = counts.withColumn("_reached", F.sum("_rows").over(before)).filter(F.col("_reached") >= n)
+            return reached.orderBy("_reached").select(*keys.columns).first()
+
+
+def head_n(rows: DataFrame, order: Sequence[str], n: int | None) -> DataFrame:
     """The first ``n`` rows by ``order``; fewer if there are fewer; all for None.
 
-    A moderate ``n`` becomes Spark's top-k operator. Beyond ``SORT_BELOW``, where that
-    would gather too much in one task, the boundary is found by counting when ``order``
-    is one unique BIGINT column, and by a ranged sort otherwise.
+    ``order`` names columns; a leading minus turns one around. Nulls come first, in a
+    descending column last. The last key of the ``n`` is found on the key columns alone,
+    then the rows are filtered in a map, whatever ``n`` is. If more rows share that key
+    than fit, the order does not say which to take, and that is an error.
     """
     if n is None:
         return rows
-    if n <= SORT_BELOW:
-        return rows.orderBy(*order).limit(n)
-    first = as_column(order[0])
-    numeric = len(order) == 1 and rows.select(first).dtypes[0][1] in ("bigint", "int")
-    if not numeric:
-        ranked = with_rank(rows, order, "_rank")
-        return ranked.filter(F.col("_rank") < n).drop("_rank")
-    values = rows.select(first.cast("bigint").alias("value"))
-    seen = values.agg(F.count("value"), F.min("value"), F.max("value")).first()
-    if seen[0] <= n:
+    if n <= 0:
+        return rows.limit(0)
+    keys = rows.select(*[_direction(name)[0] for name in order])
+    last = _nth_key(keys, order, n)
+    if last is None:
         return rows
-    boundary = nth_smallest(values, n, seen[1], seen[2] + 1)
-    if boundary.taken != boundary.ties:
-        raise ValueError("The order column must be unique.")
-    return rows.filter(first <= boundary.value)
+    reached = _up_to(order, last, dict(keys.dtypes))
+    if keys.filter(reached).count() > n:
+        raise ValueError(f"Rows number {n} and {n + 1} by {', '.join(order)} are tied; order by a further column.")
+    return rows.filter(reached)
 
 
 def with_rank(rows: DataFrame, order: Sequence[str | Column], name: str) -> DataFrame:
@@ -230,9 +276,11 @@ def label_split(rows: DataFrame, key: str, val_size: float, seed: int = 42) -> D
 
 def _last_tied_key(tied: DataFrame, found: Boundary) -> Column:
     """The last test key among different keys that share the boundary value."""
-    if found.ties > SORT_BELOW or tied.distinct().count() != found.ties:
-        raise ValueError(f"`{tied.columns[0]}` must identify rows.")
-    return F.lit(tied.orderBy(*tied.columns).limit(found.taken).agg(F.max(tied.columns[0])).first()[0])
+    key = tied.columns[0]
+    last = _nth_key(tied, [key], found.taken)[key]
+    if tied.filter(F.col(key) <= F.lit(last)).count() != found.taken:
+        raise ValueError(f"Several rows have the same `{key}`, so the split cannot be exact.")
+    return F.lit(last)
 
 
 def split(rows: DataFrame, key: str, val_size: float, seed: int = 42) -> tuple[DataFrame, DataFrame | None]:
@@ -247,7 +295,7 @@ def split(rows: DataFrame, key: str, val_size: float, seed: int = 42) -> tuple[D
 def concat_datasets(parts: Sequence[tuple[str, DataFrame]]) -> DataFrame:
     """All rows of all parts in the order given, duplicates kept, with their origin."""
     if not parts:
-        raise ValueError("No datasets loaded. Please check `dataset` and dataset files.")
+        raise ValueError("There is nothing to concatenate: no dataset was given.")
     tagged = [
         rows.select(F.lit(name).alias("dataset"), F.lit(i).alias("dataset_order"), "*")
         for i, (name, rows) in enumerate(parts)

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from promptmill.functions.scores import parse_k, run_stamp, safe_model_name, summary_line
 from promptmill.operators.codebleu import code_bleu
 from promptmill.operators.completions import SAMPLE, choose_benchmark, first_candidates
-from promptmill.operators.metrics import mean_pass_at_k, pass_map, syntax_rate, task_pass_counts
+from promptmill.operators.metrics import mean_pass_at_k, pass_map, task_pass_counts
 
 DISPLAY_NAMES = {"humaneval": "HumanEval", "mbpp": "MBPP"}
 
@@ -21,27 +21,18 @@ def metrics_report(
     verdicts: DataFrame,
     pass_k: str | Sequence[int] | None = None,
     benchmark: str = "all",
-    with_codebleu: bool = True,
 ) -> DataFrame:
     """``benchmark, syntax_rate, pass_at_k, codebleu``: the three metrics per benchmark.
 
-    ``candidates`` are paired samples, ``verdicts`` the recorded outcomes of their tests.
-    The three inputs to the join hold one row per benchmark.
+    ``candidates`` are paired samples, ``verdicts`` the recorded outcomes of their tests. Syntax
+    rate and CodeBLEU come from one pass over the first candidates, each parsed once. A
+    benchmark without verdicts, or without candidates, has null where nothing was computed.
     """
     by = ["benchmark"]
     first = first_candidates(choose_benchmark(candidates, benchmark))
     scores = mean_pass_at_k(task_pass_counts(choose_benchmark(verdicts, benchmark)), parse_k(pass_k), by)
-    report = syntax_rate(first, by).join(pass_map(scores, by), by, "full")
-    if with_codebleu:
-        report = report.join(code_bleu(first, SAMPLE, by).select(*by, "codebleu"), by, "left")
-    else:
-        report = report.withColumn("codebleu", F.lit(None).cast("double"))
-    return report.select(
-        "benchmark",
-        F.coalesce("syntax_rate", F.lit(0.0)).alias("syntax_rate"),
-        "pass_at_k",
-        F.coalesce("codebleu", F.lit(0.0)).alias("codebleu"),
-    )
+    report = code_bleu(first, SAMPLE, by).join(pass_map(scores, by), by, "full")
+    return report.select("benchmark", "syntax_rate", "pass_at_k", "codebleu")
 
 
 def summaries(report: DataFrame) -> DataFrame:

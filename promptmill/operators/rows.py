@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Callable, Iterator, Sequence
 from functools import reduce
 from operator import and_, or_
 from typing import Any
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -17,23 +19,36 @@ from promptmill.functions import tokens as K
 from promptmill.functions.text import strip
 from promptmill.sources.registry import DatasetSpec
 
+# Functions that run in tasks ship with the job, so executors need not have this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 Encoder = Callable[[list[str]], list[list[int]]]
 
 
-def _equals_plain(column: Column, kind: T.DataType, expected: bool | int | float) -> Column:
-    """Python equality with a number or a boolean: 1, 1.0 and True are equal, "1" is not."""
+# Digits of the exact comparison with whole numbers in JSON.
+EXACT = "decimal(38,9)"
+
+
+def _equals_any(column: Column, kind: T.DataType, expected: list[bool | int | float]) -> Column:
+    """Python equality with numbers or booleans: 1, 1.0 and True are equal, "1" is not.
+
+    Whole numbers are compared exactly, as decimals where the field is JSON.
+    """
+    whole = [int(e) for e in expected if isinstance(e, int)]
+    broken = [e for e in expected if isinstance(e, float)]
+    flags = [bool(e) for e in expected if e in (0, 1)]
     if isinstance(kind, T.VariantType):
         held = F.schema_of_variant(column)
         is_number = held.rlike("^(BIGINT|DECIMAL|DOUBLE|FLOAT)")
-        number = F.try_variant_get(column, "$", "decimal(38,9)" if isinstance(expected, int) else "double")
-        flag = F.try_variant_get(column, "$", "boolean").cast("int")
-        return F.when(is_number, number == F.lit(expected).cast("double")).when(
-            held == "BOOLEAN", flag == F.lit(float(expected))
+        exact = F.try_variant_get(column, "$", EXACT).isin([F.lit(str(e)).cast(EXACT) for e in whole])
+        near = F.try_variant_get(column, "$", "double").isin(broken)
+        return F.when(is_number, F.coalesce(exact, F.lit(False)) | F.coalesce(near, F.lit(False))).when(
+            held == "BOOLEAN", F.try_variant_get(column, "$", "boolean").isin(flags)
         ).otherwise(F.lit(False))
     if isinstance(kind, T.BooleanType):
-        return column == F.lit(bool(expected)) if expected in (0, 1) else F.lit(False)
+        return column.isin(flags)
     if isinstance(kind, T.NumericType):
-        return column == F.lit(int(expected) if isinstance(expected, bool) else expected)
+        return column.isin(whole + broken)
     return F.lit(False)
 
 
@@ -45,23 +60,33 @@ def _as_text(column: Column, kind: T.DataType) -> Column:
     return column.cast("string")
 
 
+def _flat(expected: Any) -> list[Any]:
+    return [e for item in expected for e in _flat(item)] if isinstance(expected, list) else [expected]
+
+
 def matches(rows: DataFrame, name: str, expected: Any) -> Column:
-    """One registry condition as a predicate that is never null."""
-    if isinstance(expected, list):
-        return reduce(or_, (matches(rows, name, item) for item in expected), F.lit(False))
-    if isinstance(expected, dict):
-        raise ValueError(f"Filter on `{name}` compares with an object; use a scalar or a list.")
+    """One registry condition as a predicate that is never null; a list is met by any item.
+
+    Items of one kind make one membership test, however many there are.
+    """
+    wanted = _flat(expected)
+    if any(isinstance(e, dict) for e in wanted):
+        raise ValueError(f"The filter on `{name}` holds an object; only values and lists of values can be compared.")
     if name not in rows.columns:
-        return F.lit(expected is None)
+        return F.lit(None in wanted)
     column, kind = F.col(f"`{name}`"), rows.schema[name].dataType
-    if expected is None:
+    texts = sorted({e.strip().lower() for e in wanted if isinstance(e, str)})
+    plain = [e for e in wanted if isinstance(e, (bool, int, float))]
+    tests = []
+    if None in wanted:
+        tests.append(column.isNull())
         if isinstance(kind, T.VariantType):
-            return column.isNull() | F.is_variant_null(column)
-        return column.isNull()
-    if isinstance(expected, str):
-        text = F.lower(strip(_as_text(column, kind)))
-        return F.coalesce(text == F.lit(expected.strip().lower()), F.lit(False))
-    return F.coalesce(_equals_plain(column, kind, expected), F.lit(False))
+            tests.append(F.is_variant_null(column))
+    if texts:
+        tests.append(F.lower(strip(_as_text(column, kind))).isin(texts))
+    if plain:
+        tests.append(_equals_any(column, kind, plain))
+    return reduce(or_, (F.coalesce(test, F.lit(False)) for test in tests), F.lit(False))
 
 
 def row_filter(rows: DataFrame, conditions: dict[str, Any] | None) -> DataFrame:
@@ -69,7 +94,7 @@ def row_filter(rows: DataFrame, conditions: dict[str, Any] | None) -> DataFrame:
     if not conditions:
         return rows
     if not isinstance(conditions, dict):
-        raise ValueError("A row filter must be an object of field names and values.")
+        raise ValueError(f"Expected a filter of field names and values, found {type(conditions).__name__}.")
     return rows.filter(reduce(and_, (matches(rows, name, want) for name, want in conditions.items())))
 
 
@@ -81,6 +106,9 @@ def map_columns(
     A source whose instruction is mapped to ``query`` repeats it as the input, because
     the input fallbacks read ``query`` too; ``reuse_source=False`` leaves the repeat out.
     """
+    rows = rows.withColumns(
+        {f.name: _as_text(F.col(f"`{f.name}`"), f.dataType) for f in rows.schema if isinstance(f.dataType, T.VariantType)}
+    )
     inputs = spec.input_names
     if not reuse_source:
         inputs = [name for name in inputs if name != spec.instruction_names[0]]
@@ -119,11 +147,24 @@ def encode(rows: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
     ).select(*keep, "prompt_ids", F.concat("prompt_ids", "_rest_ids").alias("full_ids"))
 
 
+def one_sequence(ids: Any) -> list[int]:
+    """A hook's result for one text as a list of ints."""
+    ids = ids.tolist() if hasattr(ids, "tolist") else ids
+    if not isinstance(ids, (list, tuple)):
+        raise TypeError(f"A tokenizer hook gave {type(ids).__name__} where ids were expected.")
+    ids = [i.tolist() if hasattr(i, "tolist") else i for i in ids]
+    if ids and isinstance(ids[0], (list, tuple)):
+        if len(ids) != 1:
+            raise ValueError(f"A tokenizer hook gave {len(ids)} sequences for one text.")
+        ids = ids[0]
+    return [int(i) for i in ids]
+
+
 def encode_with(rows: DataFrame, load: Callable[[], Encoder], keep: Sequence[str] = ()) -> DataFrame:
     """The same columns from a user's tokenizer.
 
     ``load`` runs on the executors, once per task, and returns a function from texts to
-    id lists.
+    id lists. Arrays and batches of one are taken as lists; anything else fails.
     """
 
     @F.pandas_udf("struct<prompt_ids: array<int>, full_ids: array<int>>")
@@ -131,7 +172,10 @@ def encode_with(rows: DataFrame, load: Callable[[], Encoder], keep: Sequence[str
         encoder = load()
         for prompts, conversations in batches:
             yield pd.DataFrame(
-                {"prompt_ids": encoder(list(prompts)), "full_ids": encoder(list(conversations))}
+                {
+                    "prompt_ids": [one_sequence(ids) for ids in encoder(list(prompts))],
+                    "full_ids": [one_sequence(ids) for ids in encoder(list(conversations))],
+                }
             )
 
     prompt_text = P.render_chat(P.prompt_messages("user_prompt"), add_generation_prompt=True)

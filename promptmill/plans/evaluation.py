@@ -5,10 +5,12 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from promptmill.functions.scores import parse_k
-from promptmill.operators.completions import clean_completions, pair_candidates
+from promptmill.functions.scores import parse_k, samples_needed
+from promptmill.operators.completions import TASK, clean_completions, pair_candidates
 from promptmill.operators.report import metrics_report, result_record
+from promptmill.sinks.scratch import scratch_table
 from promptmill.sinks.tables import save_result
 
 
@@ -20,7 +22,7 @@ def evaluate(
     benchmark: str = "all",
 ) -> DataFrame:
     """Clean the completions, pair them with their tasks, report the metrics per benchmark."""
-    candidates = pair_candidates(clean_completions(completions), tasks)
+    candidates = pair_candidates(clean_completions(completions), tasks, every_task=True)
     return metrics_report(candidates, verdicts, pass_k, benchmark)
 
 
@@ -36,8 +38,12 @@ def evaluate_and_save(
     top_p: float = 0.95,
     max_new_tokens: int = 2048,
 ) -> DataFrame:
-    """The report, also appended to the result table at ``output``."""
-    report = evaluate(completions, tasks, verdicts, pass_k, benchmark)
+    """The report, computed once, stored, and appended to the result table at ``output``."""
+    wanted = samples_needed(pass_k)
+    fewest = verdicts.groupBy(*TASK).count().agg(F.min("count")).first()[0]
+    if fewest is not None and fewest < wanted:
+        raise ValueError(f"pass@{wanted} needs {wanted} samples of every task; one has {fewest}.")
+    report = scratch_table(evaluate(completions, tasks, verdicts, pass_k, benchmark))
     settings = {
         "benchmark": benchmark,
         "temperature": temperature,

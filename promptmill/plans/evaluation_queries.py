@@ -247,17 +247,34 @@ def pass_at_k_gated(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def attempts(spark: SparkSession, folder: str) -> DataFrame:
-    """Two samples per document; the first is scored against the solution."""
+    """Two samples per document, not always numbered from 0; the first is scored against the solution."""
     return documents(spark, folder).select(
         F.expr("CASE doc_id % 2 WHEN 0 THEN 'humaneval' ELSE 'mbpp' END").alias("benchmark"),
         F.col("doc_id").cast("string").alias("task_id"),
-        F.explode(F.array(F.lit(0), F.lit(1))).alias("sample_idx"),
+        F.explode(F.expr("array(int(doc_id % 3), int(doc_id % 3 + 1))")).alias("sample_idx"),
         F.expr(ATTEMPT).alias("candidate"),
         F.expr(SOLUTION).alias("reference"),
         "lang",
     )
 
 
+@query("""WITH tasks AS (
+  SELECT CASE doc_id % 2 WHEN 0 THEN 'humaneval' ELSE 'mbpp' END AS benchmark, doc_id FROM documents WHERE doc_id % 5 <> 0
+),
+samples AS (
+  SELECT CASE doc_id % 2 WHEN 0 THEN 'humaneval' ELSE 'mbpp' END AS benchmark, doc_id, 2 AS n FROM documents WHERE doc_id % 7 <> 0
+)
+SELECT benchmark, count(t.doc_id) AS tasks, sum(coalesce(n, 0))::BIGINT AS samples,
+  count(*) FILTER (s.doc_id IS NULL) AS silent_tasks,
+  coalesce(sum(n) FILTER (t.doc_id IS NULL), 0)::BIGINT AS stray_samples
+FROM tasks t FULL JOIN samples s USING (benchmark, doc_id) GROUP BY benchmark""")
+def pairing_counts(spark: SparkSession, folder: str) -> DataFrame:
+    """Tasks that nobody answered, and answers to no task."""
+    tried = attempts(spark, folder)
+    asked = tried.filter("task_id % 5 <> 0").select("benchmark", "task_id").distinct()
+    return M.pairing_counts(tried.filter("task_id % 7 <> 0"), asked)
+
+
 @query(f"""SELECT lang, round(avg(CASE WHEN {PARSES} THEN 1.0 ELSE 0.0 END), 6)::DOUBLE AS syntax_rate
 FROM documents GROUP BY lang""")
 def syntax_rate(spark: SparkSession, folder: str) -> DataFrame:
@@ -363,11 +380,13 @@ def codebleu(spark: SparkSession, folder: str) -> DataFrame:
     """Attempts that parse have the shape and the data flow of the solution; others have none."""
     first = M.first_candidates(attempts(spark, folder))
     scores = B.code_bleu(first, ["lang", "task_id"], ["lang"])
-    rounded = [F.round(name, 6).alias(name) for name in scores.columns if name != "lang"]
+    rounded = [F.round(name, 6).alias(name) for name in scores.columns if name not in ("lang", "syntax_rate")]
     return scores.select("lang", *rounded)
 
 
+BENCHMARK = "CASE doc_id % 2 WHEN 0 THEN 'humaneval' ELSE 'mbpp' END"
 REPORT_SQL = f"""WITH {EVENT_COUNTS},
+{sql_scores(SIDES.replace("SELECT lang AS grp", f"SELECT {BENCHMARK} AS grp").replace("SELECT lang,", f"SELECT {BENCHMARK},"))},
 syntax AS (
   SELECT CASE doc_id % 2 WHEN 0 THEN 'humaneval' ELSE 'mbpp' END AS benchmark,
     avg(CASE WHEN {PARSES} THEN 1.0 ELSE 0.0 END) AS syntax_rate FROM documents GROUP BY ALL
@@ -376,18 +395,20 @@ passed AS (
   SELECT benchmark, avg({sql_pass_at_k("1")}) AS pass_at_1, avg({sql_pass_at_k("10")}) AS pass_at_10
   FROM counts GROUP BY benchmark
 ),
-report AS (SELECT * FROM syntax JOIN passed USING (benchmark))"""
+bleu AS (
+  SELECT grp AS benchmark, 0.25 * ngram_match + 0.25 * weighted_ngram_match + 0.5 * syntax_rate AS codebleu
+  FROM scores JOIN syntax ON grp = benchmark
+),
+report AS (SELECT * FROM syntax JOIN passed USING (benchmark) JOIN bleu USING (benchmark))"""
 
 
 def full_report(spark: SparkSession, folder: str) -> DataFrame:
-    return report.metrics_report(
-        attempts(spark, folder), event_verdicts(spark, folder), "10,1", with_codebleu=False
-    )
+    return report.metrics_report(attempts(spark, folder), event_verdicts(spark, folder), "10,1")
 
 
 @query(f"""{REPORT_SQL}
 SELECT benchmark, round(syntax_rate, 6)::DOUBLE AS syntax_rate, round(pass_at_1, 6)::DOUBLE AS pass_at_1,
-  round(pass_at_10, 6)::DOUBLE AS pass_at_10 FROM report""")
+  round(pass_at_10, 6)::DOUBLE AS pass_at_10, round(codebleu, 6)::DOUBLE AS codebleu FROM report""")
 def metrics_report(spark: SparkSession, folder: str) -> DataFrame:
     scores = full_report(spark, folder)
     return scores.select(
@@ -395,13 +416,14 @@ def metrics_report(spark: SparkSession, folder: str) -> DataFrame:
         F.round("syntax_rate", 6).alias("syntax_rate"),
         F.round(F.col("pass_at_k")["pass@1"], 6).alias("pass_at_1"),
         F.round(F.col("pass_at_k")["pass@10"], 6).alias("pass_at_10"),
+        F.round("codebleu", 6).alias("codebleu"),
     )
 
 
 @query(f"""{REPORT_SQL}
 SELECT benchmark, concat(CASE benchmark WHEN 'mbpp' THEN 'MBPP' ELSE 'HumanEval' END, ' -> SyntaxRate: ',
   printf('%.4f', syntax_rate::DOUBLE), ', pass@1: ', printf('%.4f', pass_at_1::DOUBLE), ', pass@10: ',
-  printf('%.4f', pass_at_10::DOUBLE), ', CodeBLEU: 0.0000') AS line, 'org__tiny_model' AS model_safe FROM report""")
+  printf('%.4f', pass_at_10::DOUBLE), ', CodeBLEU: ', printf('%.4f', codebleu::DOUBLE)) AS line, 'org__tiny_model' AS model_safe FROM report""")
 def metric_summary(spark: SparkSession, folder: str) -> DataFrame:
     lines = report.summaries(full_report(spark, folder))
     return lines.withColumn("model_safe", safe_model_name(F.lit("org/tiny model")))

@@ -95,6 +95,17 @@ def row_filter(spark: SparkSession, folder: str) -> DataFrame:
     return kept.select("doc_id", "lang", "source", "text")
 
 
+@query("""SELECT event_id, user_id FROM events
+WHERE user_id IN (SELECT unnest(range(0, 10000, 2))) AND event_type IS DISTINCT FROM 'error' AND event_id % 3 = 0""")
+def row_filter_values(spark: SparkSession, folder: str) -> DataFrame:
+    """Numbers from a long list, a boolean, and a null."""
+    events = table(spark, folder, "events").selectExpr(
+        "event_id", "user_id", "event_id % 3 = 0 AS third", "CASE WHEN event_type = 'error' THEN 1 END AS failed"
+    )
+    conditions = {"user_id": list(range(0, 10000, 2)), "third": True, "failed": None}
+    return rows.row_filter(events, conditions).select("event_id", "user_id")
+
+
 @query(f"""WITH {PAIRS},
 mapped AS (
   SELECT conv_id, turn, {sql_strip(BLANKED)} AS user_prompt, {sql_strip("output")} AS assistant_response FROM pairs
@@ -128,6 +139,31 @@ def render_chat(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def sql_line_lengths(text: str) -> str:
+    return f"list_transform(string_split({text}, chr(10)), lambda x: length(x))"
+
+
+@query(f"""{encoded_sql()},
+hooked AS (
+  SELECT conv_id, turn, {sql_line_lengths("prompt_text")} AS prompt_ids, {sql_line_lengths("full_text")} AS full_ids FROM rendered
+)
+SELECT conv_id, turn, len(prompt_ids)::BIGINT AS n_prompt, len(full_ids)::BIGINT AS n_full,
+       {list_sum("prompt_ids")} AS prompt_sum, {list_sum("full_ids")} AS full_sum FROM hooked""")
+def tokenize_hook(spark: SparkSession, folder: str) -> DataFrame:
+    """The same counts from a tokenizer that the caller brings: line lengths, as batches of one."""
+
+    def load():
+        return lambda texts: [[[len(line) for line in text.split("\n")]] for text in texts]
+
+    return rows.encode_with(mapped_pairs(spark, folder), load, KEY).select(
+        *KEY,
+        length("prompt_ids").alias("n_prompt"),
+        length("full_ids").alias("n_full"),
+        total("prompt_ids").alias("prompt_sum"),
+        total("full_ids").alias("full_sum"),
+    )
+
+
 @query(f"""{encoded_sql()}
 SELECT conv_id, turn, len(prompt_ids)::BIGINT AS n_prompt, len(full_ids)::BIGINT AS n_full,
        {list_sum("prompt_ids")} AS prompt_sum, {list_sum("full_ids")} AS full_sum FROM encoded""")
@@ -253,6 +289,15 @@ def head_n(spark: SparkSession, folder: str) -> DataFrame:
     return ordering.head_n(english, ["doc_id"], 100).select("doc_id", "source", "text")
 
 
+@query("""SELECT event_id, user_id, value FROM (
+  SELECT event_id, user_id, value, nullif(event_type, 'error') AS kind FROM events
+) ORDER BY kind NULLS FIRST, value DESC NULLS LAST, event_id LIMIT 3000""")
+def head_by_several(spark: SparkSession, folder: str) -> DataFrame:
+    """A larger N over a key with nulls and ties, one column descending."""
+    events = table(spark, folder, "events").selectExpr("event_id", "user_id", "value", "nullif(event_type, 'error') AS kind")
+    return ordering.head_n(events, ["kind", "-value", "event_id"], 3000).drop("kind")
+
+
 @query(f"""SELECT doc_id, text, (row_number() OVER (ORDER BY {sql_order("doc_id")}, doc_id) - 1)::BIGINT AS position
 FROM documents""")
 def seeded_shuffle(spark: SparkSession, folder: str) -> DataFrame:

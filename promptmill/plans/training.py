@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,11 +14,12 @@ from promptmill.functions.tokens import check_cutoff
 from promptmill.operators import ordering, rows
 from promptmill.sinks.scratch import scratch_table
 from promptmill.sinks.tables import prepared_table
+from promptmill.sources import paths
 from promptmill.sources.datasets import POSITION, read_dataset, read_schema
 from promptmill.sources.registry import DatasetSpec, dataset_names, load_registry, resolve_dataset
 
-# Bits of a row id below the number of its dataset.
-DATASET_SHIFT = 40
+# Digits of a dataset's and of a row's number in a row id, so that ids sort like numbers.
+DATASET_DIGITS, ROW_DIGITS = 6, 19
 
 
 @dataclass(frozen=True)
@@ -38,25 +41,17 @@ class PreparationOptions:
     def __post_init__(self) -> None:
         check_cutoff(self.cutoff_len)
         if self.val_size < 0:
-            raise ValueError("val_size must not be negative.")
+            raise ValueError(f"A validation part cannot have a negative size: val_size={self.val_size}.")
         object.__setattr__(self, "names", dataset_names(self.dataset))
 
 
 def format_dataset(spark: SparkSession, spec: DatasetSpec, options: PreparationOptions) -> DataFrame:
-    """Scan, filter, first N, map, number, drop blank rows.
-
-    A moderate N is Spark's top-k in file order; a larger one is a filter on the number.
-    """
-    limit = options.max_samples
-    small = limit is not None and limit <= ordering.SORT_BELOW
+    """Scan, filter, first N in file order, map, number, drop blank rows."""
     scanned = read_dataset(spark, spec.path, read_schema(spec), with_position=True)
     kept = rows.row_filter(scanned, spec.row_filter)
-    if small:
-        kept = ordering.head_n(kept, POSITION, limit)
+    kept = ordering.head_n(kept, POSITION, options.max_samples)
     mapped = rows.map_columns(kept, spec, POSITION, options.reuse_source)
     numbered = ordering.number_rows(mapped, POSITION[:2])
-    if limit is not None and not small:
-        numbered = numbered.filter(F.col("row_number") < limit)
     return rows.drop_blank(numbered.select("row_number", "user_prompt", "assistant_response"))
 
 
@@ -78,12 +73,24 @@ def build_rows(spark: SparkSession, options: PreparationOptions) -> DataFrame:
     parts = [
         (spec.name, tokenize(format_dataset(spark, spec, options), options, ["row_number"])) for spec in specs
     ]
-    row_id = F.shiftleft(F.col("dataset_order").cast("bigint"), DATASET_SHIFT) + F.col("row_number")
+    row_id = F.concat_ws(
+        ":", F.lpad(F.col("dataset_order").cast("string"), DATASET_DIGITS, "0"), F.lpad(F.col("row_number").cast("string"), ROW_DIGITS, "0")
+    )
     return ordering.concat_datasets(parts).select(
         row_id.alias("row_id"), "dataset", "input_ids", "labels", "attention_mask"
     )
 
 
+def identity(spark: SparkSession, options: PreparationOptions) -> str:
+    """A digest of what prepared rows depend on: specs, files, limits and the tokenizer's code."""
+    registry = load_registry(spark, options.dataset_dir)
+    specs = [resolve_dataset(spark, registry, options.dataset_dir, name) for name in options.names]
+    files = [paths.signature(spark, spec.path) for spec in specs]
+    code = cloudpickle.dumps(options.load_tokenizer) if options.load_tokenizer else b""
+    parts = (specs, files, options.max_samples, options.cutoff_len, options.reuse_source)
+    return hashlib.sha256(repr(parts).encode() + code).hexdigest()
+
+
 def prepare_training_data(spark: SparkSession, options: PreparationOptions) -> DataFrame:
     """``row_id, dataset, input_ids, labels, attention_mask, split``.
 
@@ -93,7 +100,7 @@ def prepare_training_data(spark: SparkSession, options: PreparationOptions) -> D
     """
     if options.cache_path:
         prepared = prepared_table(
-            spark, options.cache_path, lambda: build_rows(spark, options), options.overwrite_cache
+            spark, options.cache_path, lambda: build_rows(spark, options), identity(spark, options), options.overwrite_cache
         )
     else:
         prepared = scratch_table(build_rows(spark, options))

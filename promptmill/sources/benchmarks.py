@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from promptmill.functions import code as C
+from promptmill.sources.datasets import read_dataset
 
 HUMANEVAL_FIELDS = ("prompt", "canonical_solution", "test", "entry_point")
 COMPLETIONS_SCHEMA = "benchmark STRING, task_id STRING, sample_idx INT, text STRING"
@@ -16,11 +18,15 @@ TASK_FIELDS = ("benchmark", "task_id", "prompt", "reference", "test")
 
 
 def read_table(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
-    """A local copy of a benchmark or a recorded table, Parquet or JSON by extension."""
+    """A local copy of a benchmark or a recorded table, Parquet or JSON by extension.
+
+    JSON is read as data sets are: arrays or lines, file by file; a broken record fails the read.
+    """
     bare = path.rstrip("/").removesuffix(".gz")
     is_json = bare.endswith((".json", ".jsonl"))
-    reader = spark.read if schema is None else spark.read.schema(schema)
-    return reader.json(path) if is_json else reader.parquet(path)
+    if is_json:
+        return read_dataset(spark, path, None if schema is None else T.StructType.fromDDL(schema))
+    return (spark.read if schema is None else spark.read.schema(schema)).parquet(path)
 
 
 def _optional(rows: DataFrame, name: str, kind: str) -> Column:

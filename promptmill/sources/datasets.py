@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from functools import reduce
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
@@ -25,33 +26,45 @@ def _has_plain_value(expected: Any) -> bool:
 def read_schema(spec: DatasetSpec) -> T.StructType:
     """Only the fields the mapping and the filter can touch.
 
-    Text fields are read as strings. A field compared with a number, a boolean or null
-    is read as VARIANT, which keeps each row's own JSON type. No inference pass is
-    needed, and unused fields are never materialised.
+    Text fields are read as strings. A field compared with a number, a boolean or null,
+    mapped or not, is read as VARIANT, which keeps each row's own JSON type. No inference
+    pass is needed, and unused fields are never materialised.
     """
     fields = {
         name: T.StringType()
         for name in [*spec.instruction_names, *spec.input_names, *spec.output_names]
     }
     for name, expected in spec.row_filter.items():
-        if name not in fields:
-            fields[name] = T.VariantType() if _has_plain_value(expected) else T.StringType()
+        if _has_plain_value(expected):
+            fields[name] = T.VariantType()
+        else:
+            fields.setdefault(name, T.StringType())
     return T.StructType([T.StructField(name, kind) for name, kind in fields.items()])
 
 
 def read_dataset(
     spark: SparkSession, path: str, schema: T.StructType | None = None, with_position: bool = False
 ) -> DataFrame:
-    """Scan a JSON array or JSON Lines file, told apart by its first visible byte.
+    """Scan JSON array and JSON Lines files, each told apart by its first visible byte.
 
     JSON Lines stay splittable. An array file has to be parsed by one task, so large
     collections should be stored as lines or as many array files. Malformed input fails.
     """
-    is_array = paths.first_visible_byte(spark, path) == "["
-    reader = spark.read.option("mode", "FAILFAST").option("multiLine", is_array)
-    if schema is not None:
-        reader = reader.schema(schema)
-    rows = reader.json(path)
+    heads = paths.first_visible_bytes(spark, path)
+    arrays = sorted(file for file, byte in heads.items() if byte == "[")
+    others = sorted(set(heads) - set(arrays))
+
+    def scan(files: list[str], is_array: bool) -> DataFrame:
+        reader = spark.read.option("mode", "FAILFAST").option("multiLine", is_array)
+        return _placed((reader if schema is None else reader.schema(schema)).json(files), with_position)
+
+    parts = [scan(files, kind) for files, kind in ((others, False), (arrays, True)) if files]
+    if not parts:
+        parts = [scan([path], False)]
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+
+
+def _placed(rows: DataFrame, with_position: bool) -> DataFrame:
     if not with_position:
         return rows
     return rows.select(

@@ -36,15 +36,15 @@ def remove(spark: SparkSession, path: str) -> None:
     fs.delete(handle, True)
 
 
-def first_visible_byte(spark: SparkSession, path: str) -> str:
-    """First non-blank byte of a file or of a folder's first file; '' if there is none.
+def first_visible_bytes(spark: SparkSession, path: str) -> dict[str, str]:
+    """First non-blank byte of a file, or of every file of a folder or glob; blank files are left out.
 
-    Only the head of one file is opened, and codecs are chosen by file extension.
+    Only heads of files are opened, and codecs are chosen by file extension.
     """
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
     fs, handle = _locate(spark, path)
     matches = list(fs.globStatus(handle) or [])
-    pending = sorted(matches, key=lambda status: status.getPath().toString(), reverse=True)
+    pending, found = matches, {}
     codecs = jvm.org.apache.hadoop.io.compress.CompressionCodecFactory(conf)
     while pending:
         status = pending.pop()
@@ -52,8 +52,7 @@ def first_visible_byte(spark: SparkSession, path: str) -> str:
         if target.getName().startswith(("_", ".")):
             continue
         if status.isDirectory():
-            inside = sorted(fs.listStatus(target), key=lambda s: s.getPath().toString(), reverse=True)
-            pending.extend(inside)
+            pending.extend(fs.listStatus(target))
             continue
         codec = codecs.getCodec(target)
         stream = fs.open(target)
@@ -65,5 +64,18 @@ def first_visible_byte(spark: SparkSession, path: str) -> str:
         finally:
             stream.close()
         if byte >= 0:
-            return chr(byte)
-    return ""
+            found[target.toString()] = chr(byte)
+    return found
+
+
+def signature(spark: SparkSession, path: str) -> list[tuple[str, int, int]]:
+    """Names, lengths and times of the files at ``path``, sorted."""
+    fs, handle = _locate(spark, path)
+    pending, found = list(fs.globStatus(handle) or []), []
+    while pending:
+        status = pending.pop()
+        if status.isDirectory():
+            pending.extend(fs.listStatus(status.getPath()))
+        else:
+            found.append((status.getPath().toString(), status.getLen(), status.getModificationTime()))
+    return sorted(found)

@@ -18,26 +18,35 @@ def collected(frame):
 
 def test_head_n(spark):
     frame = spark.range(20).repartition(5)
-    assert [r["id"] for r in ordering.head_n(frame, ["id"], 3).collect()] == [0, 1, 2]
+    assert sorted(r["id"] for r in ordering.head_n(frame, ["id"], 3).collect()) == [0, 1, 2]
+    assert sorted(r["id"] for r in ordering.head_n(frame, ["-id"], 3).collect()) == [17, 18, 19]
+    assert ordering.head_n(frame, ["id"], 0).count() == 0
     assert ordering.head_n(frame, ["id"], 100).count() == 20
     assert ordering.head_n(frame, ["id"], None).count() == 20
 
 
-@pytest.mark.parametrize("order", [["id"], ["v", "id"]])
-def test_large_head_is_the_same_without_top_k(spark, monkeypatch, order):
-    frame = keyed(spark, 500, 7)
-    small = collected(ordering.head_n(frame, order, 123))
-    monkeypatch.setattr(ordering, "SORT_BELOW", 3)
-    assert collected(ordering.head_n(frame, order, 123)) == small
+@pytest.mark.parametrize(
+    ("order", "n", "sort_below"), [(["id"], 123, 3), (["v", "id"], 31, 3), (["-v", "id"], 499, 3), (["v", "-id"], 1, 100_000)]
+)
+def test_head_of_keys_with_nulls_and_ties(spark, monkeypatch, order, sort_below, n):
+    monkeypatch.setattr(ordering, "SORT_BELOW", sort_below)
+    monkeypatch.setattr(ordering, "RANGES", 4)
+    frame = keyed(spark, 500, 7).withColumn("v", F.when(F.col("id") % 17 > 0, F.col("v")))
+    directions = [F.col(c.removeprefix("-")).desc() if c.startswith("-") else F.col(c).asc() for c in order]
+    assert collected(ordering.head_n(frame, order, n)) == collected(frame.orderBy(*directions).limit(n))
     assert ordering.head_n(frame, order, 1000).count() == 500
 
 
-def test_large_head_rejects_ties(spark, monkeypatch):
-    monkeypatch.setattr(ordering, "SORT_BELOW", 3)
-    with pytest.raises(ValueError, match="unique"):
+def test_ties_at_the_end_are_an_error(spark):
+    with pytest.raises(ValueError, match="tied"):
         ordering.head_n(keyed(spark, 500, 7), ["v"], 123)
 
 
+def test_head_does_not_sort_rows_in_one_task(spark):
+    plan = ordering.head_n(keyed(spark, 500, 7), ["id"], 10)._jdf.queryExecution().toString()
+    assert "TakeOrdered" not in plan and "Sort" not in plan
+
+
 @pytest.mark.parametrize(("bins", "sort_below"), [(256, 1), (4096, 10), (4096, 10_000)])
 def test_nth_smallest_with_a_value_holding_a_third_of_the_rows(spark, monkeypatch, bins, sort_below):
     monkeypatch.setattr(ordering, "BINS", bins)
@@ -101,7 +110,7 @@ def test_split_size_matches_float_rounding():
 
 def test_repeated_keys_fail_instead_of_splitting_wrongly(spark):
     frame = spark.range(9).select((F.col("id") % 2).alias("key"))
-    with pytest.raises(ValueError, match="identify"):
+    with pytest.raises(ValueError, match="same `key`"):
         ordering.label_split(frame, "key", 2)
 
 

@@ -134,24 +134,51 @@ def test_whole_preparation(spark, tmp_path):
     folder = training_folder(tmp_path)
     options = PreparationOptions("one,two,two", folder, cutoff_len=64, max_samples=4, val_size=3)
     got = prepare_training_data(spark, options).orderBy("row_id").collect()
-    assert [r["row_id"] >> 40 for r in got] == [0] * 2 + [1] * 4 + [2] * 4
-    assert [r["row_id"] & 0xFF for r in got] == [0, 1] + [0, 1, 2, 3] * 2
+    assert [int(r["row_id"].partition(":")[0]) for r in got] == [0] * 2 + [1] * 4 + [2] * 4
+    assert [int(r["row_id"].partition(":")[2]) for r in got] == [0, 1] + [0, 1, 2, 3] * 2
     assert [r["dataset"] for r in got] == ["one"] * 2 + ["two"] * 8
     assert sum(r["split"] == "test" for r in got) == 3
     train, none = load_and_prepare(spark, PreparationOptions("two", folder))
     assert none is None and train.count() == 6
-    with pytest.raises(ValueError, match="No datasets"):
+    with pytest.raises(ValueError, match="no dataset"):
         load_and_prepare(spark, PreparationOptions(" , ", folder))
 
 
-def test_cached_preparation_is_reused(spark, tmp_path):
+def test_cached_preparation_follows_what_it_depends_on(spark, tmp_path):
     folder = training_folder(tmp_path)
-    options = PreparationOptions("two", folder, cache_path=str(tmp_path / "cache"))
-    assert prepare_training_data(spark, options).count() == 6
+    cache = str(tmp_path / "cache")
+
+    def count(**options):
+        return prepare_training_data(spark, PreparationOptions("two", folder, cache_path=cache, **options)).count()
+
+    def written():
+        return min(f.stat().st_mtime_ns for f in (tmp_path / "cache").iterdir())
+
+    assert count(cutoff_len=1) == 0
+    assert count() == 6
+    before = written()
+    assert count(seed=7, val_size=0.5) == 6 and written() == before
+    assert count(max_samples=2) == 2
+    assert count(load_tokenizer=lambda: lambda texts: [[ord(c) for c in t] for t in texts]) == 6
+    assert count() == 6
     (tmp_path / "two.jsonl").write_text(json.dumps({"query": "q", "response": "r"}) + "\n")
-    assert prepare_training_data(spark, options).count() == 6
-    again = PreparationOptions("two", folder, cache_path=str(tmp_path / "cache"), overwrite_cache=True)
-    assert prepare_training_data(spark, again).count() == 1
+    assert count() == 1
+
+
+def test_mixed_folder_and_broken_lines(spark, tmp_path):
+    folder = tmp_path / "mixed"
+    folder.mkdir()
+    (folder / "a.json").write_text(json.dumps([{"id": n} for n in range(3)], indent=1))
+    (folder / "b.jsonl").write_text("".join(json.dumps({"id": n}) + "\n" for n in range(3, 8)))
+    assert sorted(r["id"] for r in read_dataset(spark, str(folder)).collect()) == list(range(8))
+    array = tmp_path / "completions.json"
+    record = {"benchmark": "mbpp", "task_id": "1", "sample_idx": 0, "text": "x"}
+    array.write_text(json.dumps([record, record | {"sample_idx": 1}], indent=2))
+    assert sorted(r["sample_idx"] for r in read_completions(spark, str(array)).collect()) == [0, 1]
+    broken = tmp_path / "completions.jsonl"
+    broken.write_text(json.dumps(record) + "\n{oops\n")
+    with pytest.raises(Exception, match="(?i)malformed"):
+        read_completions(spark, str(broken)).collect()
 
 
 def test_bad_options():
