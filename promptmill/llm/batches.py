@@ -10,15 +10,17 @@ import pyarrow.compute as pc
 
 # Text handled at once inside a task; a single longer text is still handled whole.
 SLICE_BYTES = 8 << 20
+SLICE_ROWS = 1 << 15
 
 
 def text_slices(batch: pa.RecordBatch, column: str, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """Zero-copy slices of a batch that hold about ``most`` bytes of text each."""
+    """Zero-copy slices of a batch with about ``most`` bytes of text and ``SLICE_ROWS`` rows at most."""
     if batch.num_rows == 0:
         return
     sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
     part = np.cumsum(sizes, dtype=np.int64) // most
-    edges = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), batch.num_rows]
+    turns = np.diff(part) | np.diff(np.arange(batch.num_rows) // SLICE_ROWS)
+    edges = [0, *(np.flatnonzero(turns) + 1).tolist(), batch.num_rows]
     for start, end in zip(edges, edges[1:]):
         if end > start:
             yield batch.slice(start, end - start)

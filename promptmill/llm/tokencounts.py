@@ -1,11 +1,14 @@
 """Token counts of whole texts, tokenizing each distinct pre-token once.
 
-Three steps: frequencies of pre-tokens per document, grouped by pre-token in blocks of
-documents; the number of pieces of every distinct pre-token; a join of both, and sums.
+Blocks of documents are turned into frequencies per pre-token and document, packed by a hash
+of the pre-token. All rows of a hash meet in one partition, where a pre-token is tokenized the
+first time it comes and looked up from then on; frequencies times pieces are summed up there,
+and the sums of a document's parts once more. Ids are never kept.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,88 +16,92 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from promptmill.llm.batches import list_array, text_slices, texts_of
 from promptmill.llm.wordpieces import WordPieces
 
 # A block is a slice of a task's rows; its number and a row's place in it make one BIGINT.
 BLOCK_BITS, PLACE_BITS = 24, 16
-# Partial sums a task holds before it sends them on.
-HELD = 2_000_000
+BLOCK_BYTES = 12 << 20
+# Hashes of pre-tokens, and so the most partitions that can share them.
+BUCKETS = 2048
+# A pre-token in more than one of so many documents of a block is dealt out by block as well.
+FREQUENT = 8
+# Partial sums, and tokenized pre-tokens, that a task holds.
+HELD, KNOWN = 2_000_000, 1_000_000
 
+# A byte that no UTF-8 text holds.
+SEPARATOR = b"\xff"
+# Packed places that are unpacked at once.
+UNPACKED_BYTES = 1 << 20
 
-def _binaries(values: np.ndarray, sizes: np.ndarray) -> pa.Array:
+_PACKED = "words binary, sizes binary, places binary, times binary"
+
+
+def _packed(values: np.ndarray, sizes: np.ndarray) -> pa.Array:
     """A binary column with the bytes of ``sizes[i]`` consecutive values in row i."""
     offsets = np.zeros(len(sizes) + 1, np.int32)
     np.cumsum(sizes * values.itemsize, out=offsets[1:])
     return pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(offsets), pa.py_buffer(values.tobytes())])
 
 
-def _values(column: pa.Array, kind: type) -> tuple[np.ndarray, np.ndarray]:
-    """All values of a binary column, and how many each row has."""
-    sizes = pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False) // np.dtype(kind).itemsize
-    return np.frombuffer(b"".join(v for v in column.to_pylist() if v), kind), sizes
+def _values(column: pa.Array, kind: type) -> np.ndarray:
+    """The values of all rows of a packed column."""
+    return np.frombuffer(b"".join(v for v in column.to_pylist() if v), kind)
 
 
 def frequencies(docs: DataFrame, tokenizer: str, id_column: str, text_column: str) -> DataFrame:
-    """``block, word, places, times, ids, n_bytes``: one row per block and pre-token, one per block.
+    """``bucket, block, words, sizes, places, times, ids, n_bytes``: packed frequencies.
 
-    ``places`` and ``times`` are packed: which rows of the block hold the pre-token, how often.
-    The block's own row has the ids and sizes of its rows, under a word that no text holds.
+    A row has the pre-tokens of one block and bucket, how many documents hold each, which (by
+    their places in the block), and how often. A block has one more row, with the ids and
+    sizes of its documents.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = WordPieces(tokenizer)
         block = TaskContext.get().partitionId() << BLOCK_BITS
         for batch in batches:
-            for part in text_slices(batch, text_column):
+            for part in text_slices(batch, text_column, BLOCK_BYTES):
                 texts = texts_of(part, text_column)
                 codes, units = pieces.units(texts)
-                place = np.repeat(np.arange(len(texts)), [c.size for c in codes])
-                pairs = np.concatenate(codes) << PLACE_BITS | place
+                words = [u.encode() for u in units]
+                pairs = np.concatenate(codes) << PLACE_BITS | np.repeat(np.arange(len(texts)), [c.size for c in codes])
                 pairs, times = np.unique(pairs, return_counts=True)
-                sizes = np.bincount(pairs >> PLACE_BITS, minlength=len(units))
-                rows = len(units) + 1
-                own = np.append(sizes, 0)
-                ids = list_array(part.column(id_column), np.append(np.zeros(len(units), int), len(texts)))
+                sizes = np.bincount(pairs >> PLACE_BITS, minlength=len(words))
+                bucket = np.fromiter(map(zlib.crc32, words), np.int64, len(words)) % BUCKETS
+                often = sizes > max(1, len(texts) // FREQUENT)
+                bucket[often] = (bucket[often] + block) % BUCKETS
+                # Pre-tokens, and their documents with them, in order of buckets.
+                order = np.argsort(bucket, kind="stable")
+                starts = (np.cumsum(sizes) - sizes)[order]
+                moved = np.repeat(starts - (np.cumsum(sizes[order]) - sizes[order]), sizes[order]) + np.arange(pairs.size)
+                present, begins, counts = np.unique(bucket[order], return_index=True, return_counts=True)
+                held = np.add.reduceat(sizes[order], begins) if begins.size else begins
+                ordered = [words[n] for n in order.tolist()]
+                joined = [SEPARATOR.join(ordered[s : s + n]) for s, n in zip(begins.tolist(), counts.tolist())]
+                rows = present.size + 1
+                ids = np.append(np.zeros(present.size, int), len(texts))
                 n_bytes = pc.fill_null(pc.binary_length(part.column(text_column)), 0).cast(pa.int64())
                 yield pa.RecordBatch.from_arrays(
                     [
+                        pa.array(np.append(present, block % BUCKETS).astype(np.int32)),
                         pa.array(np.full(rows, block)),
-                        pa.array([*units, f"\n{block}"], pa.string()),
-                        _binaries((pairs & (1 << PLACE_BITS) - 1).astype(np.uint16), own),
-                        _binaries(times.astype(np.uint32), own),
-                        ids,
-                        list_array(n_bytes, np.append(np.zeros(len(units), int), len(texts))),
+                        pa.array([*joined, None], pa.binary()),
+                        _packed(sizes[order].astype(np.uint16), np.append(counts, 0)),
+                        _packed((pairs[moved] & (1 << PLACE_BITS) - 1).astype(np.uint16), np.append(held, 0)),
+                        _packed(times[moved].astype(np.uint32), np.append(held, 0)),
+                        list_array(part.column(id_column), ids),
+                        list_array(n_bytes, ids),
                     ],
-                    ["block", "word", "places", "times", "ids", "n_bytes"],
+                    ["bucket", "block", "words", "sizes", "places", "times", "ids", "n_bytes"],
                 )
                 block += 1
 
     rows = docs.select(id_column, text_column)
     kind = dict(rows.dtypes)[id_column]
-    schema = f"block bigint, word string, places binary, times binary, ids array<{kind}>, n_bytes array<bigint>"
-    return rows.mapInArrow(count, schema)
-
-
-def piece_counts(docs: DataFrame, tokenizer: str, text_column: str) -> DataFrame:
-    """``word, pieces``: how many tokens each distinct pre-token of the corpus makes."""
-
-    def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = WordPieces(tokenizer)
-        for batch in batches:
-            for part in text_slices(batch, text_column):
-                yield pa.RecordBatch.from_arrays([pa.array(pieces.units(texts_of(part, text_column))[1], pa.string())], ["word"])
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = WordPieces(tokenizer)
-        for batch in batches:
-            sizes = [len(pieces.ids(w)) for w in batch.column("word").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("word"), pa.array(sizes, pa.int32())], ["word", "pieces"])
-
-    distinct = docs.select(text_column).mapInArrow(words, "word string").distinct()
-    return distinct.mapInArrow(count, "word string, pieces int")
+    return rows.mapInArrow(count, f"bucket int, block bigint, {_PACKED}, ids array<{kind}>, n_bytes array<bigint>")
 
 
 def token_counts(docs: DataFrame, tokenizer: str, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -107,28 +114,38 @@ def token_counts(docs: DataFrame, tokenizer: str, id_column: str = "doc_id", tex
     table. Rows should come from stored files, so that a repeated task sees them in the same
     order.
 
-    A frequent pre-token has one packed row per block of documents, not one per document, and
-    Spark splits it if it is large; nothing is broadcast that grows with the corpus unless
-    Spark measures it to be small.
+    A pre-token is tokenized once in the partition of its hash. One that many documents hold
+    (FREQUENT) is dealt out over partitions by block, and tokenized once in each. Nothing is
+    broadcast. A partition holds bounded sums and sends one packed row on for each block; the
+    sums of a block meet in one partition, which holds a number per document of its own.
     """
     kind = docs.select(id_column).dtypes[0][1]
-    counted = frequencies(docs, tokenizer, id_column, text_column).join(
-        piece_counts(docs, tokenizer, text_column), "word", "left"
-    )
+    id_type = to_arrow_type(docs.schema[id_column].dataType)
+    names = ["block", "places", "tokens", "ids", "n_bytes"]
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pieces, known = WordPieces(tokenizer), {}
+
+        def count(word: bytes) -> int:
+            if len(known) >= KNOWN:
+                known.clear()
+            known[word] = found = len(pieces.ids(word.decode()))
+            return found
+
         held: list[tuple[np.ndarray, np.ndarray]] = []
-        for batch in batches:
-            places, sizes = _values(batch.column("places"), np.uint16)
-            times, _ = _values(batch.column("times"), np.uint32)
-            blocks = batch.column("block").to_numpy()
-            pieces = batch.column("pieces").fill_null(0).to_numpy().astype(np.int64)
-            held.append((np.repeat(blocks << PLACE_BITS, sizes) | places, np.repeat(pieces, sizes) * times))
-            heads = batch.filter(pc.greater(pc.list_value_length(batch.column("ids")), 0))
-            for row in range(heads.num_rows):
-                ids, n_bytes = heads.column("ids")[row].values, heads.column("n_bytes")[row].values
-                key = (heads.column("block")[row].as_py() << PLACE_BITS) + np.arange(len(ids))
-                yield rows(key, ids, n_bytes, pa.nulls(len(ids), pa.int64()))
+        for batch in (part for whole in batches for part in text_slices(whole, "places", UNPACKED_BYTES)):
+            packed = batch.filter(pc.is_valid(batch.column("words")))
+            words = SEPARATOR.join(packed.column("words").to_pylist()).split(SEPARATOR) if packed.num_rows else []
+            counts = np.fromiter((known[w] if w in known else count(w) for w in words), np.int64, len(words))
+            sizes = _values(packed.column("sizes"), np.uint16)
+            rows_of = pc.binary_length(packed.column("places")).to_numpy() // 2
+            keys = np.repeat(packed.column("block").to_numpy() << PLACE_BITS, rows_of) | _values(packed.column("places"), np.uint16)
+            held.append((keys, np.repeat(counts, sizes) * _values(packed.column("times"), np.uint32)))
+            heads = batch.filter(pc.is_null(batch.column("words")))
+            if heads.num_rows:
+                none = pa.nulls(heads.num_rows, pa.binary())
+                columns = [heads.column("block"), none, none, heads.column("ids"), heads.column("n_bytes")]
+                yield pa.RecordBatch.from_arrays(columns, names)
             if sum(k.size for k, _ in held) > HELD:
                 held = [summed(held)]
                 if held[0][0].size > HELD // 2:
@@ -145,20 +162,32 @@ def token_counts(docs: DataFrame, tokenizer: str, id_column: str = "doc_id", tex
 
     def partial(sums: tuple[np.ndarray, np.ndarray]) -> pa.RecordBatch:
         keys, tokens = sums
-        return rows(keys, pa.nulls(keys.size, id_type), pa.nulls(keys.size, pa.int64()), pa.array(tokens))
-
-    def rows(key: np.ndarray, ids: pa.Array, n_bytes: pa.Array, tokens: pa.Array) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(key), ids, n_bytes, tokens], ["key", "id", "n_bytes", "tokens"])
+        blocks, counts = np.unique(keys >> PLACE_BITS, return_counts=True)
+        places = _packed((keys & (1 << PLACE_BITS) - 1).astype(np.uint16), counts)
+        none = [pa.nulls(blocks.size, pa.list_(kind)) for kind in (id_type, pa.int64())]
+        return pa.RecordBatch.from_arrays([pa.array(blocks), places, _packed(tokens, counts), *none], names)
 
-    from pyspark.sql.pandas.types import to_arrow_type
-
-    id_type = to_arrow_type(docs.schema[id_column].dataType)
-    sums = counted.select("block", "places", "times", "pieces", "ids", "n_bytes").mapInArrow(
-        add, f"key bigint, id {kind}, n_bytes bigint, tokens bigint"
-    )
-    totals = sums.groupBy("key").agg(
-        F.max("id").alias(id_column),
-        F.max("n_bytes").alias("n_bytes"),
-        F.coalesce(F.sum("tokens"), F.lit(0)).alias("n_tokens"),
+    def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, heads = [], []
+        for batch in batches:
+            parts = batch.filter(pc.is_valid(batch.column("places")))
+            sizes = pc.binary_length(parts.column("places")).to_numpy() // 2
+            keys = np.repeat(parts.column("block").to_numpy() << PLACE_BITS, sizes) | _values(parts.column("places"), np.uint16)
+            held.append((keys, _values(parts.column("tokens"), np.int64)))
+            heads.append(batch.filter(pc.is_null(batch.column("places"))))
+            if sum(k.size for k, _ in held) > HELD:
+                held = [summed(held)]
+        keys, tokens = summed(held) if held else (np.zeros(0, np.int64),) * 2
+        for head in heads:
+            for row in range(head.num_rows):
+                ids, n_bytes = head.column("ids")[row].values, head.column("n_bytes")[row].values
+                own = (head.column("block")[row].as_py() << PLACE_BITS) + np.arange(len(ids))
+                at = np.minimum(np.searchsorted(keys, own), max(keys.size - 1, 0))
+                found = np.where(keys[at] == own, tokens[at], 0) if keys.size else np.zeros(own.size, np.int64)
+                yield pa.RecordBatch.from_arrays([ids, n_bytes, pa.array(found)], [id_column, "n_bytes", "n_tokens"])
+
+    packed = frequencies(docs, tokenizer, id_column, text_column).repartition("bucket")
+    parts = packed.mapInArrow(
+        add, f"block bigint, places binary, tokens binary, ids array<{kind}>, n_bytes array<bigint>"
     )
-    return totals.select(id_column, "n_bytes", "n_tokens")
+    return parts.repartition("block").mapInArrow(total, f"`{id_column}` {kind}, n_bytes bigint, n_tokens bigint")
