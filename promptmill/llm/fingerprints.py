@@ -7,6 +7,7 @@ fingerprint.
 
 from __future__ import annotations
 
+import random
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
@@ -16,6 +17,8 @@ from pyspark.sql import functions as F
 BIN_BITS = 8
 BINS = 1 << BIN_BITS
 VALUE_BITS = 4
+# Bins an empty bin looks at one by one.
+PROBES = 8
 SHINGLE_WORDS = 5
 BLANKS = r"[\x20\x09-\x0D]+"
 DIGITS = "0123456789abcdef"
@@ -31,19 +34,16 @@ def _let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 def shingle_hashes(text: Column, words: int = SHINGLE_WORDS) -> Column:
     """One BIGINT per run of ``words`` words; a shorter text is one shingle, no words are none."""
-    hashed = F.transform(F.filter(F.split(text, BLANKS), lambda w: w != ""), lambda w: F.xxhash64(w))
+    trimmed = F.btrim(text, F.lit(" \t\n\x0b\f\r"))
 
-    def runs(h: Column) -> Column:
+    def runs(w: Column) -> Column:
         long_enough = F.transform(
-            F.sequence(F.lit(0), F.size(h) - words), lambda i: F.xxhash64(*[h[i + k] for k in range(words)])
-        )
-        return (
-            F.when(F.size(h) >= words, long_enough)
-            .when(F.size(h) > 0, F.array(F.xxhash64(h)))
-            .otherwise(F.array().cast("array<bigint>"))
+            F.sequence(F.lit(0), F.size(w) - words), lambda i: F.xxhash64(*[w[i + k] for k in range(words)])
         )
+        return F.when(F.size(w) >= words, long_enough).otherwise(F.array(F.xxhash64(w)))
 
-    return _let(hashed, runs)
+    none = F.array().cast("array<bigint>")
+    return F.when(trimmed == "", none).otherwise(_let(F.split(trimmed, BLANKS), runs))
 
 
 def bin_minima(hashes: Column) -> Column:
@@ -60,50 +60,59 @@ def bin_minima(hashes: Column) -> Column:
 
     def firsts(ordered: Column) -> Column:
         opens = F.filter(
-            ordered,
-            lambda x, i: F.when(i == 0, True).otherwise(
-                F.shiftright(x, _SHIFT) != F.shiftright(ordered[F.greatest(i - 1, F.lit(0))], _SHIFT)
-            ),
+            ordered, lambda x, i: ~F.shiftright(x, _SHIFT).eqNullSafe(F.shiftright(F.get(ordered, i - 1), _SHIFT))
         )
         return F.transform(opens, lambda x: x.bitwiseAND(F.lit(_EMPTY)))
 
     return _let(F.sort_array(F.concat(hashes, sentinels)), firsts)
 
 
+def _probe_orders() -> tuple[list[int], list[int], list[int]]:
+    """Each bin's first probes, its offset, and the inverse of its odd step modulo the bins.
+
+    A bin's n-th probe is offset + n * step, so it comes to every bin once.
+    """
+    chance = random.Random(20170614)
+    offsets = [chance.randrange(BINS) for _ in range(BINS)]
+    steps = [2 * chance.randrange(BINS // 2) + 1 for _ in range(BINS)]
+    first = [(offset + n * step) % BINS for offset, step in zip(offsets, steps) for n in range(PROBES)]
+    return first, offsets, [pow(step, -1, BINS) for step in steps]
+
+
 def densify(minima: Column) -> Column:
     """Fill each empty bin from a full one.
 
-    An empty bin probes the bins in an order of its own, an offset and an odd step hashed from
-    its number, and borrows from the first full one. The order depends on nothing else, so
-    equal sets of full bins borrow alike and every full bin is as likely a lender.
+    An empty bin probes the bins in an order of its own, an offset and an odd step drawn for
+    it once, and borrows from the first full one. The order depends on nothing else, so equal
+    sets of full bins borrow alike and every full bin is as likely a lender. Where the first
+    probes find none, the full bin that comes first in the order is looked up.
     """
+    first, offsets, inverses = map(F.lit, _probe_orders())
 
     def fill(m: Column) -> Column:
-        full = F.filter(F.sequence(F.lit(0), F.lit(BINS - 1)), lambda b: m[b] != _EMPTY)
+        full = F.filter(F.sequence(F.lit(0), F.lit(BINS - 1)), lambda b: m[b].isNotNull())
 
         def borrow(lenders: Column) -> Column:
             def value(x: Column, b: Column) -> Column:
-                offset = F.xxhash64(b, F.lit(1)).bitwiseAND(F.lit(BINS - 1)).cast("int")
-                step = F.xxhash64(b, F.lit(2)).bitwiseAND(F.lit(BINS // 2 - 1)).cast("int") * 2 + 1
-                tried = F.transform(
-                    lenders, lambda c: F.pmod((c - offset) * step, F.lit(BINS)) * BINS + c
+                turns = F.transform(
+                    lenders, lambda c: F.pmod((c - offsets[b]) * inverses[b], F.lit(BINS)) * BINS + c
                 )
-                return F.when(x != _EMPTY, x).otherwise(m[F.array_min(tried) % BINS])
+                return F.coalesce(x, *[m[first[b * PROBES + n]] for n in range(PROBES)], m[F.array_min(turns) % BINS])
 
             return F.when(F.size(lenders) == BINS, m).otherwise(F.transform(m, value))
 
         return _let(full, borrow)
 
-    return _let(minima, fill)
+    return _let(F.transform(minima, lambda x: F.nullif(x, F.lit(_EMPTY))), fill)
 
 
 def fingerprint(text: Column, words: int = SHINGLE_WORDS) -> Column:
     """The packed low bits of the bins as hex digits; '' for a text without words or null."""
 
     def packed(hashes: Column) -> Column:
+        shown = F.lit(list(DIGITS))
         digits = F.transform(
-            densify(bin_minima(hashes)),
-            lambda v: F.substr(F.lit(DIGITS), v.bitwiseAND(F.lit((1 << VALUE_BITS) - 1)).cast("int") + 1, F.lit(1)),
+            densify(bin_minima(hashes)), lambda v: shown[v.bitwiseAND(F.lit((1 << VALUE_BITS) - 1)).cast("int")]
         )
         return F.when(F.size(hashes) == 0, F.lit("")).otherwise(F.array_join(digits, ""))
 
