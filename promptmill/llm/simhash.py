@@ -26,6 +26,8 @@ SEED = 42
 SLOT_ROWS = 4096
 # Queries compared side by side, and bit planes between two looks for an early end.
 QUERIES, PLANES = 64, 8
+# Slots of at most so many points are compared together, so many pairs at once.
+SMALL, PAIRS = 32, 4096
 ALL = np.uint64(0xFFFF_FFFF_FFFF_FFFF)
 
 
@@ -157,6 +159,39 @@ def near_forest(queries: np.ndarray, lanes: np.ndarray, radius: int) -> tuple[np
     return points[linked], points[label[linked]]
 
 
+def near_pairs(points: np.ndarray, starts: np.ndarray, sizes: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """``near_forest`` of many small groups at once, each ``sizes`` points from ``starts`` on.
+
+    The differing bits of all pairs of all groups are the lanes, compared with nothing: one
+    machine word counts 64 pairs, whichever groups they are from.
+    """
+    firsts, seconds = [], []
+    for size in np.unique(sizes[sizes > 1]).tolist():
+        i, j = np.triu_indices(size, 1)
+        begin = starts[sizes == size][:, None]
+        a, b = (begin + i).ravel(), (begin + j).ravel()
+        for low in range(0, a.size, PAIRS):
+            left, right = a[low : low + PAIRS], b[low : low + PAIRS]
+            near = within(np.zeros(1, np.uint64), planes_of(points[left] ^ points[right]), left.size, radius)[0]
+            firsts.append(left[near])
+            seconds.append(right[near])
+    root: dict[int, int] = {}
+    links: list[tuple[int, int]] = []
+    for pair in zip(np.concatenate(firsts or [sizes[:0]]).tolist(), np.concatenate(seconds or [sizes[:0]]).tolist()):
+        a, b = (_root(root, n) for n in pair)
+        if a != b:
+            root[max(a, b)] = min(a, b)
+            links.append(pair)
+    linked = np.array(links, np.int64).reshape(-1, 2)
+    return points[linked[:, 0]], points[linked[:, 1]]
+
+
+def _root(root: dict[int, int], node: int) -> int:
+    while node in root:
+        node = root[node]
+    return node
+
+
 def near_links(points: DataFrame, radius: int = 3, slot_rows: int = SLOT_ROWS) -> DataFrame:
     """``a, b``: links that connect all points within ``radius`` bits, and no others.
 
@@ -186,10 +221,16 @@ def near_links(points: DataFrame, radius: int = 3, slot_rows: int = SLOT_ROWS) -
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [(np.zeros(0, np.int64),) * 2]
-            for row in range(batch.num_rows):
-                left, right = (batch.column(c)[row].values.to_numpy().view(np.uint64) for c in (0, 1))
-                found.append(near_forest(right if batch.column(2)[row].as_py() else left, right, radius))
+            left, right = batch.column("left"), batch.column("right")
+            points, starts = right.values.to_numpy().view(np.uint64), right.offsets.to_numpy()
+            sizes = np.diff(starts)
+            small = batch.column("inside").to_numpy(zero_copy_only=False) & (sizes <= SMALL)
+            found = [near_pairs(points, starts[:-1][small], sizes[small], radius)]
+            for row in np.flatnonzero(~small).tolist():
+                lanes = points[starts[row] : starts[row + 1]]
+                same = batch.column("inside")[row].as_py()
+                queries = lanes if same else left[row].values.to_numpy().view(np.uint64)
+                found.append(near_forest(queries, lanes, radius))
             a, b = (np.concatenate([f[side].view(np.int64) for f in found]) for side in (0, 1))
             yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
