@@ -26,8 +26,9 @@ WIDTH = 16
 # Labelled rows the model is fitted on, per language. Every fourth of them calibrates.
 SAMPLE_PER_LANGUAGE = 300
 EPOCHS, RATE, SEED = 6, 2.0, 17
-# Share of the calibration rows that may be rejected, and the score above which nothing is.
-REJECTED_SHARE, CERTAIN = 0.001, 0.5
+# Share of the calibration rows that may be rejected, and the score above which nothing is. One clean
+# word can score below a half.
+REJECTED_SHARE, CERTAIN = 0.001, 0.35
 UNDETERMINED = "und"
 # Positions handled at once, so that memory does not grow with a text.
 WINDOW = 1 << 19
