@@ -128,16 +128,21 @@ def test_codebleu_equals_a_plain_computation(spark, partitions):
     rows = [(g, i, c, r) for g, chunk in (("a", CODES), ("b", CODES[:3]), ("c", CODES[3:]))
             for i, (c, r) in enumerate(itertools.product(chunk, CODES))]
     frame = spark.createDataFrame(rows, "grp string, i int, candidate string, reference string").repartition(3)
-    got = {r["grp"]: list(r)[1:] for r in B.code_bleu(frame, ["grp", "i"], ["grp"], partitions).collect()}
+    scores = B.code_bleu(frame, ["grp", "i"], ["grp"], partitions)
+    valid = {r["grp"]: r["syntax_rate"] for r in scores.collect()}
+    for grp in "abc":
+        own = [Y.parse_python(c) is not None for g, _, c, _ in rows if g == grp]
+        assert valid[grp] == pytest.approx(sum(own) / len(own))
+    got = {r["grp"]: list(r)[1:] for r in scores.drop("syntax_rate").collect()}
     for grp in "abc":
         assert got[grp] == pytest.approx(brute_codebleu([(c, r) for g, _, c, r in rows if g == grp]), abs=1e-9)
-    whole = B.code_bleu(frame, ["grp", "i"], partitions=partitions).first()
+    whole = B.code_bleu(frame, ["grp", "i"], partitions=partitions).drop("syntax_rate").first()
     assert list(whole) == pytest.approx(brute_codebleu([(c, r) for _, _, c, r in rows]), abs=1e-9)
 
 
 def test_codebleu_of_nothing_in_common(spark):
     frame = spark.createDataFrame([(0, "a b", "c d")], "i int, candidate string, reference string")
-    row = B.code_bleu(frame, ["i"]).first()
+    row = B.code_bleu(frame, ["i"]).drop("syntax_rate").first()
     assert list(row) == pytest.approx(brute_codebleu([("a b", "c d")])) and row["ngram_match"] == 0.0
 
 
