@@ -95,7 +95,8 @@ FROM scored QUALIFY rank <= 5
 @_job
 def op4_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document without its repeated lines, and how many it had and lost."""
-    kept = lines.drop_repeated_lines(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    kept = lines.drop_repeated_lines(docs, radius=lines.WIDE_RADIUS)
     return kept.select("doc_id", F.col("_lines").alias("n_lines"), F.col("_dropped").alias("n_dropped"), "text")
 
 

@@ -78,7 +78,7 @@ def text_mark(text_column: str) -> Column:
     return F.xxhash64(F.lit(7), F.col(f"`{text_column}`"))
 
 
-def slots(point: Column, radius: int) -> Column:
+def slots_of(point: Column, radius: int) -> Column:
     """The slots of a fingerprint: one for each two of ``radius + 2`` blocks, and their bits."""
     blocks = radius + 2
     edges = [BITS * k // blocks for k in range(blocks + 1)]
@@ -192,16 +192,22 @@ def _root(root: dict[int, int], node: int) -> int:
     return node
 
 
-def near_links(points: DataFrame, radius: int = 3, slot_rows: int = SLOT_ROWS) -> DataFrame:
+def near_links(
+    points: DataFrame, radius: int = 3, slot_rows: int = SLOT_ROWS, slots: Column | None = None
+) -> DataFrame:
     """``a, b``: links that connect all points within ``radius`` bits, and no others.
 
-    ``points`` is one BIGINT column of distinct values. A slot with more than ``slot_rows``
+    The first column of ``points`` is a BIGINT of distinct values. With ``slots``, an array
+    column of ``points``, only points with a slot in common are compared, whatever their bits
+    are; a value may then come with several arrays. A slot with more than ``slot_rows``
     points is dealt out in shares, and each two shares meet in a task of their own, so no
     task holds more than two shares and no pair is left out. A task sends on a forest, at
     most one link per point, however many pairs are near.
     """
     point = F.col(points.columns[0])
-    placed = points.select(point.alias("point"), F.explode(slots(point, radius)).alias("slot"))
+    placed = points.select(
+        point.alias("point"), F.explode(slots_of(point, radius) if slots is None else slots).alias("slot")
+    )
     sizes = placed.groupBy("slot").count().filter("count > 1")
     shares = F.ceil(F.col("count") / F.lit(slot_rows)).cast("int")
     dealt = placed.join(sizes, "slot").select("slot", "point", shares.alias("shares")).withColumn(

@@ -235,6 +235,39 @@ def test_lines_awkward(spark, documents, awkward):
     assert lines.drop_repeated_lines(documents([])).collect() == []
 
 
+def edited(words, chance, share):
+    """A line whose edit similarity to the one of ``words`` is 1 - share or a little more."""
+    line = " ".join(words)
+    letters = list(line)
+    for at in chance.sample(range(len(letters)), max(1, int(share * len(letters)))):
+        letters[at] = chance.choice("abcdefgh")
+    return "".join(letters)
+
+
+def test_fuzzy_lines_recall(spark, tmp_path, documents):
+    """The query and the stage against edit similarity alone: no bit filter in the brute force."""
+    from promptmill.llm.queries import JOBS
+
+    chance = random.Random(23)
+    rows = []
+    for n in range(150):
+        words = ["".join(chance.choice("abcdefghijklmnoprstu") for _ in range(chance.randrange(3, 9))) for _ in range(chance.choice((6, 12, 50)))]
+        rows += [(n, " ".join(words)), (1000 + n, edited(words, chance, 0.03))]
+    keys = [lines.normalised(t) for _, t in rows]
+    forest = Forest(range(len(rows)))
+    for a in range(len(rows)):
+        for b in range(a + 1, len(rows)):
+            if lines.similar(keys[a], keys[b], 0.9):
+                forest.link(a, b)
+    gone = {rows[n][0] for n in range(len(rows)) if forest.root(n) != n}
+    assert len(gone) == 150
+    docs = documents([(*r, "en", "s", 1) for r in rows], extra=False)
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id for r in JOBS["op4_fuzzy_lines"](spark, str(tmp_path)).collect() if r.n_dropped}
+    assert got <= gone and len(got) >= 0.93 * len(gone)
+    assert {r.doc_id for r in corpus_pipeline.line_dedup(spark, docs, "").collect()} == {r[0] for r in rows} - got
+
+
 # --- mixing ---------------------------------------------------------------------
 
 
