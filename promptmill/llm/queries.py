@@ -96,7 +96,7 @@ FROM scored QUALIFY rank <= 5
 def op4_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document without its repeated lines, and how many it had and lost."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
-    kept = lines.drop_repeated_lines(docs, radius=lines.WIDE_RADIUS)
+    kept = lines.drop_repeated_lines(docs, least_words=1, radius=lines.WIDE_RADIUS)
     return kept.select("doc_id", F.col("_lines").alias("n_lines"), F.col("_dropped").alias("n_dropped"), "text")
 
 

@@ -268,6 +268,22 @@ def test_fuzzy_lines_recall(spark, tmp_path, documents):
     assert {r.doc_id for r in corpus_pipeline.line_dedup(spark, docs, "").collect()} == {r[0] for r in rows} - got
 
 
+def test_short_lines_and_lines_without_blanks(spark, tmp_path, documents):
+    from promptmill.llm.queries import JOBS
+
+    chinese = "敏捷的棕色狐狸跳过了那只懒惰的狗然后沿着河流一直跑到森林的尽头"
+    rows = [
+        (1, f"All rights reserved.\n\n}}\n{chinese}\nabcdefgh"),
+        (2, f"all rights  reserved.\n\n}}\n{chinese}\nabcdefgx"),
+        (3, f"own\n{chinese.replace('森林', '村庄')}\n \n"),
+    ]
+    docs = documents([(*r, "en", "s", 1) for r in rows], extra=False)
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r.text for r in JOBS["op4_fuzzy_lines"](spark, str(tmp_path)).collect()}
+    assert got == {1: rows[0][1], 2: "\nabcdefgx", 3: "own\n \n"}
+    assert {r.doc_id: r.text for r in corpus_pipeline.line_dedup(spark, docs, "").collect()} == got
+
+
 # --- mixing ---------------------------------------------------------------------
 
 
