@@ -276,7 +276,11 @@ def keep_one(
     That is the row with the smallest id (a null id is the smallest), then the smallest hash
     of the text, then the smallest other columns.
     """
-    groups = near_groups(docs, id_column, text_column, words, radius)
+    return keep_first(docs, near_groups(docs, id_column, text_column, words, radius), id_column, text_column)
+
+
+def keep_first(docs: DataFrame, groups: DataFrame, id_column: str, text_column: str) -> DataFrame:
+    """The first row of each group; ``groups`` has ``id_column, mark, group`` of every row."""
     kept = groups.groupBy("group").agg(F.min(F.struct(F.col(id_column).alias("id"), "mark")).alias("__kept"))
     columns = [F.col(f"`{c}`") for c in docs.columns]
     marked = docs.select(*columns, text_mark(text_column).alias("__mark"))

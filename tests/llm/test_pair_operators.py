@@ -439,6 +439,43 @@ def test_stages_against_plain_python(spark, documents):
     assert packed.count() >= mixed.count()
 
 
+def test_near_dedup_recall(spark, documents):
+    """The stage against the Jaccard similarity of five-word shingles over all pairs."""
+    chance = random.Random(29)
+    vocabulary = [f"w{n}" for n in range(3000)]
+    rows = []
+    for n in range(120):
+        words = [chance.choice(vocabulary) for _ in range(chance.choice((12, 40, 70, 250)))]
+        other = list(words)
+        if n % 3 == 0:
+            other.append("more")
+        elif n % 3 == 1:
+            for at in chance.sample(range(len(other)), max(1, len(other) // 60)):
+                other[at] = chance.choice(vocabulary)
+        else:
+            other = other[: len(other) // 2] + [chance.choice(vocabulary) for _ in range(len(other) // 2)]
+        rows += [(n, " ".join(words)), (1000 + n, " ".join(other))]
+    sets = [shingles(t) for _, t in rows]
+    forest = Forest(range(len(rows)))
+    for a in range(len(rows)):
+        for b in range(a + 1, len(rows)):
+            if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+                forest.link(a, b)
+    want = {rows[n][0] for n in range(len(rows)) if forest.root(n) == n}
+    docs = documents([(*r, "en", "s", 1) for r in rows], extra=False)
+    got = {r.doc_id for r in corpus_pipeline.near_dedup(spark, docs, "").collect()}
+    assert want <= got and len(got - want) <= 0.03 * (len(rows) - len(want)) and len(want) < 200
+
+
+def test_near_dedup_awkward(spark, documents, awkward):
+    kept = corpus_pipeline.near_dedup(spark, documents(awkward), "")
+    assert kept.columns == documents(awkward).columns
+    words = {" ".join((r[1] or "").lower().split()) for r in awkward}
+    # The line and the line with one word more: 8 of 9 shingles.
+    assert kept.count() == len(words) - 1
+    assert corpus_pipeline.near_dedup(spark, documents([]), "").collect() == []
+
+
 def test_run_on_an_empty_table(spark, tmp_path, documents):
     documents([], extra=False).write.parquet(f"{tmp_path}/documents.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []
