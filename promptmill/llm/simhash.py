@@ -208,7 +208,10 @@ def near_links(
     placed = points.select(
         point.alias("point"), F.explode(slots_of(point, radius) if slots is None else slots).alias("slot")
     )
-    sizes = placed.groupBy("slot").count().filter("count > 1")
+    if slots is not None:
+        # Both uses below share one shuffle; counting points keeps their columns equal.
+        placed = placed.repartition("slot")
+    sizes = placed.groupBy("slot").agg(F.count("point").alias("count")).filter("count > 1")
     shares = F.ceil(F.col("count") / F.lit(slot_rows)).cast("int")
     dealt = placed.join(sizes, "slot").select("slot", "point", shares.alias("shares")).withColumn(
         "share", F.pmod(F.xxhash64("point"), F.col("shares")).cast("int")
