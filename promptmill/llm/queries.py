@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from promptmill.llm import fingerprints, langid, lines, mixing, packing, secrets, sharding, simhash, tokencounts, topk
+from promptmill.llm import bpetree, fingerprints, langid, lines, mixing, packing, secrets, sharding, simhash, tokencounts, topk
 from promptmill.llm.succession import with_successor
 
 Job = Callable[[SparkSession, str], DataFrame]
@@ -19,6 +19,7 @@ SQL: dict[str, str] = {}
 
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
+BYTE_TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 # Tokens beyond which a document is reported as too long.
 TOKEN_LIMIT = 2048
 
@@ -171,4 +172,12 @@ SELECT doc_id, slot, filled[slot + 1]::INTEGER AS shard,
 FROM placed, shards
 """
 
+@_job
+def op12_bpe_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Byte-level BPE ids of every whole text, long ones encoded by halves and joined, and their decoding."""
+    return bpetree.encode(_table(spark, sf_dir, "documents"), BYTE_TOKENIZER).select(
+        "doc_id", "n_tokens", "ids_sha256", "decoded_sha256"
+    )
+
+
 JOBS["pipeline"] = corpus_pipeline.run
