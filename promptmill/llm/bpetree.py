@@ -17,6 +17,7 @@ Null texts are empty texts; null and repeated ``doc_id`` values are kept as rows
 from __future__ import annotations
 
 import hashlib
+import os
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,6 +34,10 @@ from promptmill.sinks.scratch import stored_table
 PIECE_CHARS = 1 << 15
 # Tokens at each end of a repaired window that must agree with the sides.
 MARGIN = 2
+# Text encoded at once in a task; the library's encodings of a slice are held until its ids are read.
+SLICE_BYTES = 1 << 20
+# Leaves whose ids are turned into digests at once.
+PARTS_ROWS = 32
 
 _DIGESTS = "n_tokens bigint, ids_sha256 string, decoded_sha256 string"
 _JOINS = pa.schema([("_row", pa.int64()), ("k", pa.int32()), ("a", pa.int32()), ("b", pa.int32()), ("window", pa.list_(pa.int32()))])
@@ -42,6 +47,8 @@ class ByteTokens:
     """The library's tokenizer and the bytes each id decodes to."""
 
     def __init__(self, path: str) -> None:
+        # One thread per task: Spark runs the tasks in parallel already.
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
         letters = {chr(c): b for b, c in _byte_letters().items()}
         size = self.tokenizer.get_vocab_size(with_added_tokens=True)
@@ -53,7 +60,7 @@ class ByteTokens:
         self.lengths = np.fromiter(map(len, self.bytes), np.int64, size)
 
     def encode(self, texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+        return [self.tokenizer.encode(text, add_special_tokens=False).ids for text in texts]
 
     def decoded(self, ids: list[int]) -> bytes:
         """What ``decode(ids, skip_special_tokens=False)`` gives, as UTF-8."""
@@ -151,7 +158,7 @@ def _whole(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = ByteTokens(path)
         for batch in batches:
-            for part in text_slices(batch, "_text"):
+            for part in text_slices(batch, "_text", SLICE_BYTES):
                 results = [digests(tokens, ids) for ids in tokens.encode(texts_of(part, "_text"))]
                 yield pa.RecordBatch.from_pydict(
                     {
@@ -169,7 +176,7 @@ def _leaves(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = ByteTokens(path)
         for batch in batches:
-            for part in text_slices(batch, "piece", 4 << 20):
+            for part in text_slices(batch, "piece", SLICE_BYTES):
                 ids = tokens.encode(texts_of(part, "piece"))
                 yield pa.RecordBatch.from_arrays(
                     [part.column("_id"), part.column("_row"), part.column("k"), part.column("piece"),
@@ -188,7 +195,7 @@ def _joined(leaves: DataFrame, path: str, kind: str) -> DataFrame:
     def fix(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = ByteTokens(path)
         for whole in batches:
-            for batch in text_slices(whole, "piece", 4 << 20):
+            for batch in text_slices(whole, "piece", SLICE_BYTES):
                 out = {"_row": [], "k": [], "a": [], "b": [], "window": []}
                 for row in batch.to_pylist():
                     found = repair(tokens, row["piece"].encode(), row["ids"], row["r_piece"].encode(), row["r_ids"])
@@ -242,17 +249,19 @@ def _joined(leaves: DataFrame, path: str, kind: str) -> DataFrame:
 def _parts(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = ByteTokens(path)
-        for batch in batches:
-            ids = batch.column("ids").to_pylist()
-            yield pa.RecordBatch.from_pydict(
-                {
-                    "_id": batch.column("_id"),
-                    "_row": batch.column("_row"),
-                    "k": batch.column("k"),
-                    "n": pa.array([len(i) for i in ids], pa.int64()),
-                    "listed": pa.array([",".join(map(str, i)) for i in ids], pa.string()),
-                    "decoded": pa.array([b"".join(tokens.bytes[t] for t in i) for i in ids], pa.binary()),
-                }
-            )
+        for whole in batches:
+            for start in range(0, whole.num_rows, PARTS_ROWS):
+                batch = whole.slice(start, PARTS_ROWS)
+                ids = batch.column("ids").to_pylist()
+                yield pa.RecordBatch.from_pydict(
+                    {
+                        "_id": batch.column("_id"),
+                        "_row": batch.column("_row"),
+                        "k": batch.column("k"),
+                        "n": pa.array([len(i) for i in ids], pa.int64()),
+                        "listed": pa.array([",".join(map(str, i)) for i in ids], pa.string()),
+                        "decoded": pa.array([b"".join(tokens.bytes[t] for t in i) for i in ids], pa.binary()),
+                    }
+                )
 
     return run
