@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from promptmill.llm import bpetree, fingerprints, langid, lines, mixing, packing, secrets, sharding, simhash, tokencounts, topk
+from promptmill.llm import bpetree, fingerprints, langid, lines, mixing, packing, runs, secrets, sharding, simhash, tokencounts, topk
 from promptmill.llm.succession import with_successor
 
 Job = Callable[[SparkSession, str], DataFrame]
@@ -180,4 +180,12 @@ def op12_bpe_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@_job
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of repeated word blocks in every whole text, with the contract's planted periods."""
+    return runs.periodic_runs(_table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_runs", "start", "length", "period", "exponent_milli", "runs_sha256", "collapsed_sha256"
+    )
+
+
 JOBS["pipeline"] = corpus_pipeline.run
