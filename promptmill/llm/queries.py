@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from promptmill.llm import bpetree, fingerprints, langid, lines, mixing, packing, runs, secrets, sharding, simhash, tokencounts, topk
+from promptmill.llm import bpetree, fingerprints, langid, lines, mixing, packing, runs, secrets, sharding, simhash, tokencounts, topk, variants
 from promptmill.llm.succession import with_successor
 
 Job = Callable[[SparkSession, str], DataFrame]
@@ -172,6 +172,12 @@ SELECT doc_id, slot, filled[slot + 1]::INTEGER AS shard,
 FROM placed, shards
 """
 
+@_job
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every word of five or more letters seen three times or more, its form and its root."""
+    return variants.variants(_table(spark, sf_dir, "documents")).select("word", "form", "root", "n", "n_near", "form_n")
+
+
 @_job
 def op12_bpe_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Byte-level BPE ids of every whole text, long ones encoded by halves and joined, and their decoding."""
