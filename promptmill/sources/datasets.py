@@ -9,13 +9,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from promptmill.sources import paths
 from promptmill.sources.registry import DatasetSpec
 
 # Where a scanned row stands: file, split inside the file, running id inside the task.
 # Sorting by these restores file order whatever way Spark packed the splits.
 POSITION = ("source_file", "source_block", "source_row")
 
+# Records of the head scan end at each opening brace: they stay about as small as a file's objects,
+# also in a file that is one long line.
+HEAD_SEPARATOR = "{"
+# Blank characters before a file's first visible one (white space and the byte order mark).
+_BLANK = "\\t\\n\\r \\uFEFF"
+
 
 def _has_plain_value(expected: Any) -> bool:
     if isinstance(expected, list):
@@ -50,7 +55,7 @@ def read_dataset(
     JSON Lines stay splittable. An array file has to be parsed by one task, so large
     collections should be stored as lines or as many array files. Malformed input fails.
     """
-    heads = paths.first_visible_bytes(spark, path)
+    heads = dict(file_heads(spark, path).collect())
     arrays = sorted(file for file, byte in heads.items() if byte == "[")
     others = sorted(set(heads) - set(arrays))
 
@@ -64,6 +69,26 @@ def read_dataset(
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
 
 
+def file_heads(spark: SparkSession, path: str) -> DataFrame:
+    """``file, head``: each file at ``path`` (a file, folder or glob) and its first visible character.
+
+    One Spark job reads the files in tasks through Spark's text reader, so any store Spark reads
+    works and the driver opens no file. Blank and empty files have no row. Compressed files are
+    read through their codec, as every Spark scan does. Every byte is read once (the text reader
+    has no way to stop after the head); records are cut at ``{``, so none grows beyond an object.
+    """
+    records = spark.read.option("lineSep", HEAD_SEPARATOR).text(path)
+    first = F.regexp_extract("value", f"^[{_BLANK}]*([^{_BLANK}])", 1)
+    per_file = records.select(
+        F.col("_metadata.file_path").alias("file"),
+        F.struct(F.col("_metadata.file_block_start"), F.monotonically_increasing_id()).alias("at"),
+        first.alias("first"),
+    ).groupBy("file").agg(F.min_by("first", "at").alias("first"), F.count(F.lit(1)).alias("records"))
+    # A blank first record followed by another one: the separator itself came first.
+    head = F.when(F.col("first") != "", F.col("first")).when(F.col("records") > 1, F.lit(HEAD_SEPARATOR))
+    return per_file.select("file", head.alias("head")).where(F.col("head").isNotNull())
+
+
 def _placed(rows: DataFrame, with_position: bool) -> DataFrame:
     if not with_position:
         return rows

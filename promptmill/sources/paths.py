@@ -36,38 +36,6 @@ def remove(spark: SparkSession, path: str) -> None:
     fs.delete(handle, True)
 
 
-def first_visible_bytes(spark: SparkSession, path: str) -> dict[str, str]:
-    """First non-blank byte of a file, or of every file of a folder or glob; blank files are left out.
-
-    Only heads of files are opened, and codecs are chosen by file extension.
-    """
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    fs, handle = _locate(spark, path)
-    matches = list(fs.globStatus(handle) or [])
-    pending, found = matches, {}
-    codecs = jvm.org.apache.hadoop.io.compress.CompressionCodecFactory(conf)
-    while pending:
-        status = pending.pop()
-        target = status.getPath()
-        if target.getName().startswith(("_", ".")):
-            continue
-        if status.isDirectory():
-            pending.extend(fs.listStatus(target))
-            continue
-        codec = codecs.getCodec(target)
-        stream = fs.open(target)
-        stream = codec.createInputStream(stream) if codec is not None else stream
-        try:
-            byte = stream.read()
-            while byte in (0x09, 0x0A, 0x0D, 0x20, 0xEF, 0xBB, 0xBF):
-                byte = stream.read()
-        finally:
-            stream.close()
-        if byte >= 0:
-            found[target.toString()] = chr(byte)
-    return found
-
-
 def signature(spark: SparkSession, path: str) -> list[tuple[str, int, int]]:
     """Names, lengths and times of the files at ``path``, sorted."""
     fs, handle = _locate(spark, path)

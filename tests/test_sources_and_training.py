@@ -243,3 +243,25 @@ def test_row_local_steps_accept_a_stream(spark, tmp_path):
     )
     run.awaitTermination(60)
     assert spark.read.parquet(str(tmp_path / "out")).agg(F.count("*")).first()[0] == 1
+
+
+def test_file_heads_of_many_small_files_in_one_job(spark, tmp_path):
+    """10,000 files of both kinds are told apart in tasks, and read by their kind."""
+    from promptmill.sources.datasets import file_heads
+
+    folder = tmp_path / "many"
+    folder.mkdir()
+    for n in range(10_000):
+        if n % 3 == 0:
+            text = f'﻿\n  [{{"id": {n}, "s": "{{[\\""}}]'
+        elif n % 3 == 1:
+            text = f'\n{{"id": {n}, "s": "]"}}\n'
+        else:
+            text = f'{{"id": {n}}}'
+        (folder / f"f{n:05d}.json").write_text(text, encoding="utf-8")
+    (folder / "blank.json").write_text("  \n\t")
+    (folder / "empty.json").write_text("")
+    heads = {r.file.rsplit("/", 1)[1]: r.head for r in file_heads(spark, str(folder)).collect()}
+    assert len(heads) == 10_000
+    assert all(heads[f"f{n:05d}.json"] == ("[" if n % 3 == 0 else "{") for n in range(10_000))
+    assert sorted(r["id"] for r in read_dataset(spark, str(folder)).select("id").collect()) == list(range(10_000))
