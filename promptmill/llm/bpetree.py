@@ -17,11 +17,14 @@ Null texts are empty texts; null and repeated ``doc_id`` values are kept as rows
 from __future__ import annotations
 
 import hashlib
+import json
 import os
 from collections.abc import Iterator
 
 import numpy as np
+import public_tokenizers
 import pyarrow as pa
+import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -59,7 +62,11 @@ class ByteTokens:
             self.bytes[n] = token.encode() if token in special else bytes(letters[c] for c in token)
         self.lengths = np.fromiter(map(len, self.bytes), np.int64, size)
 
+        self.ranked = _rank_engine(path, letters)
+
     def encode(self, texts: list[str]) -> list[list[int]]:
+        if self.ranked is not None:
+            return [self.ranked.encode(text, allowed_special="all") for text in texts]
         return [self.tokenizer.encode(text, add_special_tokens=False).ids for text in texts]
 
     def decoded(self, ids: list[int]) -> bytes:
@@ -67,6 +74,39 @@ class ByteTokens:
         return b"".join(self.bytes[i] for i in ids).decode("utf-8", "replace").encode()
 
 
+def _rank_engine(path: str, letters: dict[str, int]) -> tiktoken.Encoding | None:
+    """The same encoder as merge ranks, where the file allows it exactly; else None (the library encodes).
+
+    That is: plain byte-level BPE (no normalizer, the standard split pattern, no prefix space, no
+    dropout, suffixes or byte fallback), every byte a token, merges whose results' ids rise in
+    merge order (so a merge's rank is its result's id), and added tokens matched as they are.
+    The tests compare its ids with the library's on every test text.
+    """
+    with open(path, encoding="utf-8") as file:
+        spec = json.load(file)
+    model, pre = spec.get("model") or {}, spec.get("pre_tokenizer") or {}
+    plain = (
+        model.get("type") == "BPE"
+        and spec.get("normalizer") is None
+        and pre.get("type") == "ByteLevel"
+        and pre.get("use_regex", True)
+        and not pre.get("add_prefix_space")
+        and not any(model.get(k) for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges"))
+    )
+    added = spec.get("added_tokens") or []
+    if not plain or any(t.get("normalized") or t.get("lstrip") or t.get("rstrip") or t.get("single_word") for t in added):
+        return None
+    vocab = model["vocab"]
+    pairs = [m.split(" ") if isinstance(m, str) else m for m in model.get("merges", [])]
+    made = [vocab.get(a + b, -1) for a, b in pairs]
+    if min(made, default=0) < 0 or any(x >= y for x, y in zip(made, made[1:])) or any(c not in vocab for c in letters):
+        return None
+    ranks = {bytes(letters[c] for c in token): n for token, n in vocab.items()}
+    return tiktoken.Encoding(
+        "ranked", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={t["content"]: t["id"] for t in added}
+    )
+
+
 def digests(tokens: ByteTokens, ids: list[int]) -> tuple[int, str, str]:
     listed = ",".join(map(str, ids)).encode()
     return len(ids), hashlib.sha256(listed).hexdigest(), hashlib.sha256(tokens.decoded(ids)).hexdigest()

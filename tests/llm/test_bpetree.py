@@ -55,6 +55,10 @@ def test_equal_to_library_with_many_leaves(spark, byte_path, documents):
 
 def test_repair_agrees_with_whole_encoding(byte_path):
     tokens = bpetree.ByteTokens(byte_path)
+    # The file's merges rise with their ids, so the rank encoder is used; its ids are the library's.
+    assert tokens.ranked is not None
+    texts = [t for _, t in awkward_texts() if t] + ["a<|endoftext|>b", " \n\n  x", "it's 12,345.6 ¿qué?"]
+    assert tokens.encode(texts) == [library(byte_path).encode(t, add_special_tokens=False).ids for t in texts]
     text = "the quick  brown fox " * 50 + "ééé" * 40
     whole = tokens.encode([text])[0]
     for cut in (1, 13, 200, 523, len(text) - 3):
