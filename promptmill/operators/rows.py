@@ -10,7 +10,7 @@ from typing import Any
 
 import pandas as pd
 from pyspark import cloudpickle
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -204,6 +204,28 @@ def supervise(encoded: DataFrame, cutoff_len: int, keep: Sequence[str] = ()) ->
     )
 
 
+class StageCounts:
+    """Row counts of named stages, gathered by ``DataFrame.observe`` while the rows are written.
+
+    A marked stage is counted by the first action that runs it, in the same pass that does the
+    work: there is no second pass. Spark merges the observed metrics of successful task attempts
+    of that action once, so retried and speculative tasks do not count twice. ``result`` waits
+    for that action; call it after the write.
+    """
+
+    def __init__(self) -> None:
+        self.marks: list[tuple[str, str, Observation]] = []
+
+    def mark(self, frame: DataFrame, dataset: str, stage: str) -> DataFrame:
+        observation = Observation()
+        self.marks.append((dataset, stage, observation))
+        return frame.observe(observation, F.count(F.lit(1)).alias("n_rows"))
+
+    def result(self) -> list[tuple[str, str, int]]:
+        """``(dataset, stage, n_rows)`` in the order stages were marked (a dataset named twice comes twice)."""
+        return [(dataset, stage, int(o.get["n_rows"])) for dataset, stage, o in self.marks]
+
+
 def count_stages(mapped: DataFrame, cutoff_len: int) -> DataFrame:
     """``stage, n_rows``: mapped rows, those not blank, those left after tokenising.
 

@@ -339,16 +339,32 @@ def concat_datasets(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-@query(f"""{encoded_sql("(SELECT * REPLACE (" + BLANKED + " AS instruction) FROM pairs)")}
+STAGE_COUNTS = f"""{encoded_sql("(SELECT * REPLACE (" + BLANKED + " AS instruction) FROM pairs)")}
 SELECT 'raw' AS stage, count(*)::BIGINT AS n_rows FROM pairs
 UNION ALL SELECT 'not_blank', count(*) FROM rendered
-UNION ALL SELECT 'supervised', count(*) FROM encoded WHERE len(full_ids) <= {CUTOFF} AND len(full_ids) > len(prompt_ids)""")
+UNION ALL SELECT 'supervised', count(*) FROM encoded WHERE len(full_ids) <= {CUTOFF} AND len(full_ids) > len(prompt_ids)"""
+
+
+@query(STAGE_COUNTS)
 def stage_counts(spark: SparkSession, folder: str) -> DataFrame:
     """Row counts after each stage, from one pass over the rows."""
     blanked = pairs(spark, folder).withColumn("instruction", F.expr(BLANKED))
     return rows.count_stages(rows.map_columns(blanked, PLAIN), CUTOFF)
 
 
+@query(STAGE_COUNTS)
+def observed_stage_counts(spark: SparkSession, folder: str) -> DataFrame:
+    """The same counts, observed while the supervised rows are written: the write is the only pass."""
+    counts = rows.StageCounts()
+    blanked = pairs(spark, folder).withColumn("instruction", F.expr(BLANKED))
+    mapped = counts.mark(rows.map_columns(blanked, PLAIN), "pairs", "raw")
+    kept = counts.mark(rows.drop_blank(mapped), "pairs", "not_blank")
+    supervised = counts.mark(rows.supervise(rows.encode(kept), CUTOFF), "pairs", "supervised")
+    scratch_table(supervised.select("input_ids", "labels"))
+    found = [(stage, n) for _, stage, n in counts.result()]
+    return spark.createDataFrame(found, "stage string, n_rows bigint")
+
+
 @query("""WITH sizes AS (SELECT lang, count(*) AS n FROM documents GROUP BY lang),
 epochs AS (SELECT lang, n, greatest(ceil(n / 8.0), 1)::BIGINT AS steps_per_epoch FROM sizes),
 totals AS (SELECT *, greatest(ceil(steps_per_epoch * 2.5), 1)::BIGINT AS total_steps FROM epochs)

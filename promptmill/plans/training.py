@@ -45,25 +45,35 @@ class PreparationOptions:
         object.__setattr__(self, "names", dataset_names(self.dataset))
 
 
-def format_dataset(spark: SparkSession, spec: DatasetSpec, options: PreparationOptions) -> DataFrame:
-    """Scan, filter, first N in file order, map, number, drop blank rows."""
+def format_dataset(
+    spark: SparkSession, spec: DatasetSpec, options: PreparationOptions, counts: rows.StageCounts | None = None
+) -> DataFrame:
+    """Scan, filter, first N in file order, map, number, drop blank rows.
+
+    With ``counts``, the mapped rows (``raw``) and those not blank (``not_blank``) are counted
+    by the passes that make them.
+    """
+    mark = (lambda frame, stage: counts.mark(frame, spec.name, stage)) if counts else (lambda frame, stage: frame)
     scanned = read_dataset(spark, spec.path, read_schema(spec), with_position=True)
     kept = rows.row_filter(scanned, spec.row_filter)
     kept = ordering.head_n(kept, POSITION, options.max_samples)
-    mapped = rows.map_columns(kept, spec, POSITION, options.reuse_source)
+    mapped = mark(rows.map_columns(kept, spec, POSITION, options.reuse_source), "raw")
     numbered = ordering.number_rows(mapped, POSITION[:2])
-    return rows.drop_blank(numbered.select("row_number", "user_prompt", "assistant_response"))
+    return mark(rows.drop_blank(numbered.select("row_number", "user_prompt", "assistant_response")), "not_blank")
 
 
-def tokenize(formatted: DataFrame, options: PreparationOptions, keep: Sequence[str]) -> DataFrame:
+def tokenize(
+    formatted: DataFrame, options: PreparationOptions, keep: Sequence[str], counts: rows.StageCounts | None = None, name: str = ""
+) -> DataFrame:
     if options.load_tokenizer is None:
         encoded = rows.encode(formatted, keep)
     else:
         encoded = rows.encode_with(formatted, options.load_tokenizer, keep)
-    return rows.supervise(encoded, options.cutoff_len, keep)
+    supervised = rows.supervise(encoded, options.cutoff_len, keep)
+    return counts.mark(supervised, name, "supervised") if counts else supervised
 
 
-def build_rows(spark: SparkSession, options: PreparationOptions) -> DataFrame:
+def build_rows(spark: SparkSession, options: PreparationOptions, counts: rows.StageCounts | None = None) -> DataFrame:
     """All datasets of the run, tokenised and concatenated.
 
     The row id orders rows by dataset and file position and depends on the data alone.
@@ -71,7 +81,8 @@ def build_rows(spark: SparkSession, options: PreparationOptions) -> DataFrame:
     registry = load_registry(spark, options.dataset_dir)
     specs = [resolve_dataset(spark, registry, options.dataset_dir, name) for name in options.names]
     parts = [
-        (spec.name, tokenize(format_dataset(spark, spec, options), options, ["row_number"])) for spec in specs
+        (spec.name, tokenize(format_dataset(spark, spec, options, counts), options, ["row_number"], counts, spec.name))
+        for spec in specs
     ]
     row_id = F.concat_ws(
         ":", F.lpad(F.col("dataset_order").cast("string"), DATASET_DIGITS, "0"), F.lpad(F.col("row_number").cast("string"), ROW_DIGITS, "0")
@@ -98,13 +109,41 @@ def prepare_training_data(spark: SparkSession, options: PreparationOptions) -> D
     where a later run finds it again, or to the scratch folder. Splitting then only reads
     the row id.
     """
+    return prepare_with_counts(spark, options)[0]
+
+
+COUNTS_SCHEMA = "dataset string, stage string, n_rows bigint"
+
+
+def prepare_with_counts(spark: SparkSession, options: PreparationOptions) -> tuple[DataFrame, list[tuple[str, str, int]]]:
+    """Prepared rows as ``prepare_training_data`` gives them, and ``(dataset, stage, n_rows)``.
+
+    Stages are ``raw`` (mapped rows), ``not_blank`` and ``supervised``; they are counted by the
+    passes that make the rows (see ``rows.StageCounts``). A run that builds a cached table writes
+    the counts beside it (``<cache_path>.counts``); a run that reuses the table reads them from
+    there (none if a run stopped between the two writes).
+    """
+    counts = rows.StageCounts()
+    built: list[bool] = []
+
+    def build() -> DataFrame:
+        built.append(True)
+        return build_rows(spark, options, counts)
+
     if options.cache_path:
-        prepared = prepared_table(
-            spark, options.cache_path, lambda: build_rows(spark, options), identity(spark, options), options.overwrite_cache
-        )
+        prepared = prepared_table(spark, options.cache_path, build, identity(spark, options), options.overwrite_cache)
+        beside = f"{options.cache_path.rstrip('/')}.counts"
+        if built:
+            found = counts.result()
+            spark.createDataFrame(found, COUNTS_SCHEMA).coalesce(1).write.mode("overwrite").json(beside)
+        elif paths.exists(spark, f"{beside}/_SUCCESS"):
+            found = [tuple(r) for r in spark.read.schema(COUNTS_SCHEMA).json(beside).collect()]
+        else:
+            found = []
     else:
-        prepared = scratch_table(build_rows(spark, options))
-    return ordering.label_split(prepared, "row_id", options.val_size, options.seed)
+        prepared = scratch_table(build())
+        found = counts.result()
+    return ordering.label_split(prepared, "row_id", options.val_size, options.seed), found
 
 
 def load_and_prepare(

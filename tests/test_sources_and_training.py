@@ -265,3 +265,26 @@ def test_file_heads_of_many_small_files_in_one_job(spark, tmp_path):
     assert len(heads) == 10_000
     assert all(heads[f"f{n:05d}.json"] == ("[" if n % 3 == 0 else "{") for n in range(10_000))
     assert sorted(r["id"] for r in read_dataset(spark, str(folder)).select("id").collect()) == list(range(10_000))
+
+
+def test_stage_counts_come_with_the_write(spark, tmp_path):
+    from promptmill.plans.training import prepare_with_counts
+
+    folder = training_folder(tmp_path)
+    options = PreparationOptions("one,two,two", folder, cutoff_len=64, max_samples=4)
+    prepared, counts = prepare_with_counts(spark, options)
+    one = [("one", "raw", 4), ("one", "not_blank", 3), ("one", "supervised", 2)]
+    two = [("two", "raw", 4), ("two", "not_blank", 4), ("two", "supervised", 4)]
+    assert counts == one + two + two
+    assert prepared.count() == 10
+    cache = str(tmp_path / "cache")
+    built = prepare_with_counts(spark, PreparationOptions("one", folder, cutoff_len=64, cache_path=cache))[1]
+    reused = prepare_with_counts(spark, PreparationOptions("one", folder, cutoff_len=64, cache_path=cache, seed=3))[1]
+    assert built == reused == one
+
+
+def test_observed_counts_equal_the_counting_pass(spark):
+    from promptmill.plans import preparation_queries as Q
+
+    folder = "/root/testdata/sf0.001"
+    assert sorted(Q.observed_stage_counts(spark, folder).collect()) == sorted(Q.stage_counts(spark, folder).collect())
