@@ -51,13 +51,18 @@ def words_of(text: Column) -> Column:
 
 def planted(words: Column, doc_id: Column) -> Column:
     """Words with the contract's planted period: if ``h % 10 == 0`` (h = crc32 of the decimal id), word
-    ``i >= a`` becomes word ``a + (i - a) % p``. Null ids and empty word lists are left as they are."""
+    ``i >= a`` becomes word ``a + (i - a) % p``. Null ids and empty word lists are left as they are.
+
+    The words from a on are the block ``a .. a+p-1`` repeated, so the result is built from slices
+    (linear in the words); ``words`` should be a column already computed, not an expression.
+    """
     h = F.crc32(doc_id.cast("string").cast("binary"))
     g = F.floor(h / 10)
     n = F.size(words)
     a = (g % n).cast("int")
     p = (F.lit(1) + F.floor((n - a) / (F.lit(3) + g % 8))).cast("int")
-    moved = F.transform(words, lambda w, i: F.when(i >= a, F.element_at(words, a + (i - a) % p + 1)).otherwise(w))
+    times = F.ceil((n - a) / p).cast("int")
+    moved = F.slice(F.concat(F.slice(words, 1, a), F.flatten(F.array_repeat(F.slice(words, a + 1, p), times))), 1, n)
     return F.when((h % 10 == 0) & (n > 0), moved).otherwise(words)
 
 
@@ -296,13 +301,15 @@ def periodic_runs(docs: DataFrame, id_column: str = "doc_id", text_column: str =
     With ``plant`` the contract's planted period is applied first (see ``planted``).
     """
     kind = docs.schema[id_column].dataType.simpleString()
-    words = words_of(F.col(text_column))
-    rows = docs.select(
+    found = docs.select(
         F.col(id_column).alias("_id"),
-        (planted(words, F.col(id_column)) if plant else words).alias("_words"),
+        words_of(F.col(text_column)).alias("_found"),
         # A key that is the same whenever the scan is read again.
         F.xxhash64(F.input_file_name(), F.monotonically_increasing_id()).alias("_key"),
     )
+    # Words are found once; the planted period refers to them several times.
+    words = planted(F.col("_found"), F.col("_id")) if plant else F.col("_found")
+    rows = found.select("_id", words.alias("_words"), "_key")
     short = rows.where(F.size("_words") <= TILE_WORDS).select("_id", "_words")
     done = short.mapInArrow(_whole_documents, f"_id {kind}, {_DIGESTS}")
     long = rows.where(F.size("_words") > TILE_WORDS)
