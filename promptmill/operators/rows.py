@@ -89,13 +89,18 @@ def matches(rows: DataFrame, name: str, expected: Any) -> Column:
     return reduce(or_, (F.coalesce(test, F.lit(False)) for test in tests), F.lit(False))
 
 
-def row_filter(rows: DataFrame, conditions: dict[str, Any] | None) -> DataFrame:
-    """Keep the rows that meet every condition; a list is met by any of its items."""
+def row_filter(rows: DataFrame, conditions: dict[str, Any] | None, also: Column | None = None) -> DataFrame:
+    """Keep the rows that meet every condition; a list is met by any of its items.
+
+    Rows for which ``also`` holds are kept whatever the conditions say (rows on their way to a
+    quarantine table, for instance).
+    """
     if not conditions:
         return rows
     if not isinstance(conditions, dict):
         raise ValueError(f"Expected a filter of field names and values, found {type(conditions).__name__}.")
-    return rows.filter(reduce(and_, (matches(rows, name, want) for name, want in conditions.items())))
+    condition = reduce(and_, (matches(rows, name, want) for name, want in conditions.items()))
+    return rows.filter(condition if also is None else also | condition)
 
 
 def map_columns(
@@ -216,16 +221,44 @@ class StageCounts:
     def __init__(self) -> None:
         self.marks: list[tuple[str, str, Observation]] = []
 
-    def mark(self, frame: DataFrame, dataset: str, stage: str) -> DataFrame:
+    def mark(self, frame: DataFrame, dataset: str, stage: str, where: Column | None = None) -> DataFrame:
+        """``frame``, counted as it passes (only rows where ``where`` holds, if given)."""
         observation = Observation()
         self.marks.append((dataset, stage, observation))
-        return frame.observe(observation, F.count(F.lit(1)).alias("n_rows"))
+        counted = F.count(F.lit(1)) if where is None else F.count_if(where)
+        return frame.observe(observation, counted.cast("bigint").alias("n_rows"))
 
     def result(self) -> list[tuple[str, str, int]]:
         """``(dataset, stage, n_rows)`` in the order stages were marked (a dataset named twice comes twice)."""
         return [(dataset, stage, int(o.get["n_rows"])) for dataset, stage, o in self.marks]
 
 
+def supervise_or_reject(encoded: DataFrame, cutoff_len: int, keep: Sequence[str] = (), reason: str = "reason") -> DataFrame:
+    """``supervise`` for lenient runs: rows without a response boundary are kept with a reason.
+
+    ``reason`` names a column of ``encoded`` that may already hold one (a malformed source row);
+    a row with a reason has null ids and passes the length and supervision tests untouched. All
+    in one projection and one generator, so the rows are encoded once.
+    """
+    cutoff_len = K.check_cutoff(cutoff_len)
+    why = F.coalesce(F.col(reason), K.reject_reason("prompt_ids", "full_ids"))
+    marked = encoded.select(*keep, "prompt_ids", "full_ids", why.alias(reason))
+    bounded = marked.select(
+        *keep, reason, "full_ids", F.when(F.col(reason).isNull(), K.shared_prefix("prompt_ids", "full_ids")).alias("boundary")
+    )
+    fits = (F.size("full_ids") <= cutoff_len) & K.has_supervision(K.response_ids("full_ids", "boundary"))
+    wanted = F.col(reason).isNotNull() | fits
+    kept = emit_if(bounded, [*keep, reason], wanted, F.col("full_ids"), F.col("boundary"))
+    ok = F.col(reason).isNull()
+    return kept.select(
+        *keep,
+        F.when(ok, F.col("full_ids")).alias("input_ids"),
+        F.when(ok, K.mask_labels("full_ids", "boundary")).alias("labels"),
+        F.when(ok, K.attention_mask("full_ids")).alias("attention_mask"),
+        reason,
+    )
+
+
 def count_stages(mapped: DataFrame, cutoff_len: int) -> DataFrame:
     """``stage, n_rows``: mapped rows, those not blank, those left after tokenising.
 

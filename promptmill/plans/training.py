@@ -7,7 +7,7 @@ from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from promptmill.functions.tokens import check_cutoff
@@ -15,7 +15,8 @@ from promptmill.operators import ordering, rows
 from promptmill.sinks.scratch import scratch_table
 from promptmill.sinks.tables import prepared_table
 from promptmill.sources import paths
-from promptmill.sources.datasets import POSITION, read_dataset, read_schema
+from promptmill.functions.text import strip
+from promptmill.sources.datasets import CORRUPT, POSITION, read_dataset, read_schema
 from promptmill.sources.registry import DatasetSpec, dataset_names, load_registry, resolve_dataset
 
 # Digits of a dataset's and of a row's number in a row id, so that ids sort like numbers.
@@ -36,6 +37,8 @@ class PreparationOptions:
     load_tokenizer: Callable[[], rows.Encoder] | None = None
     cache_path: str | None = None
     overwrite_cache: bool = False
+    # Lenient runs: rows that would fail the job are written here instead (dataset, row_number, reason).
+    quarantine_path: str | None = None
     names: list[str] = field(init=False)
 
     def __post_init__(self) -> None:
@@ -51,24 +54,48 @@ def format_dataset(
     """Scan, filter, first N in file order, map, number, drop blank rows.
 
     With ``counts``, the mapped rows (``raw``) and those not blank (``not_blank``) are counted
-    by the passes that make them.
+    by the passes that make them. In a lenient run (``quarantine_path``) a malformed source row
+    is kept with a ``reason``, passes the filter and the blank test, and counts as raw only.
     """
-    mark = (lambda frame, stage: counts.mark(frame, spec.name, stage)) if counts else (lambda frame, stage: frame)
-    scanned = read_dataset(spark, spec.path, read_schema(spec), with_position=True)
-    kept = rows.row_filter(scanned, spec.row_filter)
+    lenient = options.quarantine_path is not None
+    clean = F.col("reason").isNull() if lenient else None
+
+    def mark(frame: DataFrame, stage: str, where: Column | None = None) -> DataFrame:
+        return counts.mark(frame, spec.name, stage, where) if counts else frame
+
+    scanned = read_dataset(spark, spec.path, read_schema(spec), with_position=True, lenient=lenient)
+    broken = F.col(CORRUPT).isNotNull() if lenient else None
+    kept = rows.row_filter(scanned, spec.row_filter, broken)
     kept = ordering.head_n(kept, POSITION, options.max_samples)
-    mapped = mark(rows.map_columns(kept, spec, POSITION, options.reuse_source), "raw")
+    keep = list(POSITION)
+    if lenient:
+        reason = F.when(broken, F.concat(F.lit("Malformed JSON: "), F.substring(CORRUPT, 1, 200)))
+        kept, keep = kept.withColumn("reason", reason), [*keep, "reason"]
+    mapped = mark(rows.map_columns(kept, spec, keep, options.reuse_source), "raw")
     numbered = ordering.number_rows(mapped, POSITION[:2])
-    return mark(rows.drop_blank(numbered.select("row_number", "user_prompt", "assistant_response")), "not_blank")
+    if not lenient:
+        return mark(rows.drop_blank(numbered.select("row_number", "user_prompt", "assistant_response")), "not_blank")
+    present = (strip("user_prompt") != "") & (strip("assistant_response") != "")
+    selected = numbered.select(
+        "row_number",
+        *[F.coalesce(F.col(c), F.lit("")).alias(c) for c in ("user_prompt", "assistant_response")],
+        "reason",
+    ).filter(F.col("reason").isNotNull() | present)
+    return mark(selected, "not_blank", clean)
 
 
 def tokenize(
     formatted: DataFrame, options: PreparationOptions, keep: Sequence[str], counts: rows.StageCounts | None = None, name: str = ""
 ) -> DataFrame:
+    lenient = options.quarantine_path is not None
+    carried = [*keep, "reason"] if lenient else list(keep)
     if options.load_tokenizer is None:
-        encoded = rows.encode(formatted, keep)
+        encoded = rows.encode(formatted, carried)
     else:
-        encoded = rows.encode_with(formatted, options.load_tokenizer, keep)
+        encoded = rows.encode_with(formatted, options.load_tokenizer, carried)
+    if lenient:
+        supervised = rows.supervise_or_reject(encoded, options.cutoff_len, keep)
+        return counts.mark(supervised, name, "supervised", F.col("reason").isNull()) if counts else supervised
     supervised = rows.supervise(encoded, options.cutoff_len, keep)
     return counts.mark(supervised, name, "supervised") if counts else supervised
 
@@ -87,8 +114,9 @@ def build_rows(spark: SparkSession, options: PreparationOptions, counts: rows.St
     row_id = F.concat_ws(
         ":", F.lpad(F.col("dataset_order").cast("string"), DATASET_DIGITS, "0"), F.lpad(F.col("row_number").cast("string"), ROW_DIGITS, "0")
     )
+    extra = ["reason"] if options.quarantine_path is not None else []
     return ordering.concat_datasets(parts).select(
-        row_id.alias("row_id"), "dataset", "input_ids", "labels", "attention_mask"
+        row_id.alias("row_id"), "dataset", "input_ids", "labels", "attention_mask", *extra
     )
 
 
@@ -98,7 +126,7 @@ def identity(spark: SparkSession, options: PreparationOptions) -> str:
     specs = [resolve_dataset(spark, registry, options.dataset_dir, name) for name in options.names]
     files = [paths.signature(spark, spec.path) for spec in specs]
     code = cloudpickle.dumps(options.load_tokenizer) if options.load_tokenizer else b""
-    parts = (specs, files, options.max_samples, options.cutoff_len, options.reuse_source)
+    parts = (specs, files, options.max_samples, options.cutoff_len, options.reuse_source, options.quarantine_path is not None)
     return hashlib.sha256(repr(parts).encode() + code).hexdigest()
 
 
@@ -125,13 +153,16 @@ def prepare_with_counts(spark: SparkSession, options: PreparationOptions) -> tup
     """
     counts = rows.StageCounts()
     built: list[bool] = []
+    lenient = options.quarantine_path is not None
+    flag = "quarantined" if lenient else None
 
     def build() -> DataFrame:
         built.append(True)
-        return build_rows(spark, options, counts)
+        made = build_rows(spark, options, counts)
+        return made.withColumn(flag, F.col("reason").isNotNull()) if lenient else made
 
     if options.cache_path:
-        prepared = prepared_table(spark, options.cache_path, build, identity(spark, options), options.overwrite_cache)
+        prepared = prepared_table(spark, options.cache_path, build, identity(spark, options), options.overwrite_cache, flag)
         beside = f"{options.cache_path.rstrip('/')}.counts"
         if built:
             found = counts.result()
@@ -141,8 +172,15 @@ def prepare_with_counts(spark: SparkSession, options: PreparationOptions) -> tup
         else:
             found = []
     else:
-        prepared = scratch_table(build())
+        prepared = scratch_table(build(), partition_by=flag)
         found = counts.result()
+    if lenient:
+        # Rows and rejects were written once, apart by the partition column; rejects are copied out.
+        rejected = prepared.where(F.col(flag)).select(
+            "dataset", F.substring_index("row_id", ":", -1).cast("bigint").alias("row_number"), "reason"
+        )
+        rejected.write.mode("overwrite").parquet(options.quarantine_path)
+        prepared = prepared.where(~F.col(flag)).drop(flag, "reason")
     return ordering.label_split(prepared, "row_id", options.val_size, options.seed), found
 
 

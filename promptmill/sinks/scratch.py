@@ -35,20 +35,21 @@ def new_path(spark: SparkSession) -> str:
     return path
 
 
-def scratch_table(rows: DataFrame, rows_per_file: int = 0) -> DataFrame:
+def scratch_table(rows: DataFrame, rows_per_file: int = 0, partition_by: str | None = None) -> DataFrame:
     """Write the rows once and read them back.
 
     This cuts the lineage, survives lost executors, and unlike a cached plan lets later
     passes read single columns. ``rows_per_file`` splits what one task writes.
     """
-    return stored_table(rows, rows_per_file)[0]
+    return stored_table(rows, rows_per_file, partition_by)[0]
 
 
-def stored_table(rows: DataFrame, rows_per_file: int = 0) -> tuple[DataFrame, str]:
+def stored_table(rows: DataFrame, rows_per_file: int = 0, partition_by: str | None = None) -> tuple[DataFrame, str]:
     """``scratch_table`` and its folder, for callers that ``release`` it early."""
     spark = rows.sparkSession
     path = new_path(spark)
-    rows.write.option("maxRecordsPerFile", rows_per_file).parquet(path)
+    writer = rows.write.option("maxRecordsPerFile", rows_per_file)
+    (writer.partitionBy(partition_by) if partition_by else writer).parquet(path)
     return spark.read.schema(rows.schema).parquet(path), path
 
 

@@ -84,7 +84,7 @@ def _summaries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def array_elements(spark: SparkSession, files: list[str], schema: T.StructType) -> DataFrame:
+def array_elements(spark: SparkSession, files: list[str], schema: T.StructType, mode: str = "FAILFAST") -> DataFrame:
     """``file, element`` and the fields of ``schema``: each element of each top-level array, in file order.
 
     Equal to ``spark.read.json(files, multiLine=True)`` on array files, malformed elements failing
@@ -136,5 +136,5 @@ def array_elements(spark: SparkSession, files: list[str], schema: T.StructType)
     text = F.when(F.col("element") == 0, F.regexp_replace("text", r"^[\s\uFEFF]*\[", "")).otherwise(F.col("text"))
     text = F.when(F.col("last"), F.regexp_replace(text, r"\][\s]*$", "")).otherwise(text)
     elements = grouped.select("file", "element", text.alias("text")).where(F.trim("text") != "")
-    parsed = elements.select("file", "element", F.from_json("text", schema, {"mode": "FAILFAST"}).alias("row"))
+    parsed = elements.select("file", "element", F.from_json("text", schema, {"mode": mode, "columnNameOfCorruptRecord": "_corrupt_record"}).alias("row"))
     return parsed.select("file", "element", "row.*")

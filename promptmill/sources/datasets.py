@@ -52,14 +52,20 @@ def read_schema(spec: DatasetSpec) -> T.StructType:
     return T.StructType([T.StructField(name, kind) for name, kind in fields.items()])
 
 
+# The column of rows that could not be parsed, in lenient reads.
+CORRUPT = "_corrupt_record"
+
+
 def read_dataset(
-    spark: SparkSession, path: str, schema: T.StructType | None = None, with_position: bool = False
+    spark: SparkSession, path: str, schema: T.StructType | None = None, with_position: bool = False, lenient: bool = False
 ) -> DataFrame:
     """Scan JSON array and JSON Lines files, each told apart by its first visible byte.
 
     JSON Lines stay splittable. An array file larger than ``ARRAY_SPLIT_BYTES`` is split over
     many tasks when ``schema`` is given (``arrays.array_elements``); smaller ones, and all of them
-    without a schema, are parsed one task a file. Malformed input fails.
+    without a schema, are parsed one task a file. Malformed input fails, unless ``lenient``:
+    then a malformed line (or array file, or array element) is a row whose ``_corrupt_record``
+    holds its text and whose fields are null.
     """
     heads = {r.file: (r.head, r.size) for r in file_heads(spark, path).collect()}
     arrays = sorted(file for file, (byte, _) in heads.items() if byte == "[")
@@ -67,13 +73,17 @@ def read_dataset(
     arrays = [file for file in arrays if file not in split]
     others = sorted(set(heads) - set(arrays) - set(split))
 
+    if lenient and schema is not None and CORRUPT not in schema.fieldNames():
+        schema = T.StructType([*schema.fields, T.StructField(CORRUPT, T.StringType())])
+    mode = "PERMISSIVE" if lenient else "FAILFAST"
+
     def scan(files: list[str], is_array: bool) -> DataFrame:
-        reader = spark.read.option("mode", "FAILFAST").option("multiLine", is_array)
+        reader = spark.read.option("mode", mode).option("columnNameOfCorruptRecord", CORRUPT).option("multiLine", is_array)
         return _placed((reader if schema is None else reader.schema(schema)).json(files), with_position)
 
     parts = [scan(files, kind) for files, kind in ((others, False), (arrays, True)) if files]
     if split:
-        parts.append(_placed_elements(array_elements(spark, split, schema), with_position))
+        parts.append(_placed_elements(array_elements(spark, split, schema, mode), with_position))
     if not parts:
         parts = [scan([path], False)]
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)

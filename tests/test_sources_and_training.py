@@ -288,3 +288,38 @@ def test_observed_counts_equal_the_counting_pass(spark):
 
     folder = "/root/testdata/sf0.001"
     assert sorted(Q.observed_stage_counts(spark, folder).collect()) == sorted(Q.stage_counts(spark, folder).collect())
+
+
+def broken_folder(tmp_path):
+    good = [json.dumps({"query": f"q{i}", "response": f"r{i}"}) for i in range(5)]
+    lines = good[:2] + ['{"query": "broken", "response": '] + good[2:]
+    (tmp_path / "two.jsonl").write_text("\n".join(lines) + "\n")
+    return write_registry(tmp_path, {"two": {"file_name": "two.jsonl", "columns": {"instruction": "query", "output": "response"}}})
+
+
+def test_strict_runs_still_fail_on_a_malformed_line(spark, tmp_path):
+    folder = broken_folder(tmp_path)
+    with pytest.raises(Exception):
+        prepare_training_data(spark, PreparationOptions("two", folder)).count()
+
+
+def test_lenient_runs_quarantine_malformed_rows_and_rows_without_a_boundary(spark, tmp_path):
+    from promptmill.plans.training import prepare_with_counts
+
+    folder = broken_folder(tmp_path)
+    dead = str(tmp_path / "dead")
+
+    def load():
+        # Prompts of q3 are encoded apart from their conversations: no boundary.
+        def encode(texts):
+            return [[7] if "q3" in t and "r3" not in t else [ord(c) % 97 for c in t] for t in texts]
+
+        return encode
+
+    options = PreparationOptions("two", folder, cutoff_len=4096, quarantine_path=dead, load_tokenizer=load)
+    prepared, counts = prepare_with_counts(spark, options)
+    assert prepared.count() == 4 and "reason" not in prepared.columns
+    rejected = sorted(spark.read.parquet(dead).collect())
+    assert [(r.dataset, r.row_number) for r in rejected] == [("two", 2), ("two", 4)]
+    assert rejected[0].reason.startswith("Malformed JSON") and "differ" in rejected[1].reason
+    assert counts == [("two", "raw", 6), ("two", "not_blank", 5), ("two", "supervised", 4)]
