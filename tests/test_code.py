@@ -130,3 +130,26 @@ def test_structure_ignores_names_but_not_shape():
     ]
     assert flow("for i in x:\n  t = t + i") == flow("for k in y:\n  s = s + k")
     assert flow("x += 1")[0] == "var_0 computedFrom var_0"
+
+
+def test_dataflow_follows_reaching_definitions():
+    flow = lambda code: Y.dataflow_edges(Y.parse_python(code))
+    # Both branches reach the read.
+    assert flow("if c:\n  x = 1\nelse:\n  x = 2\ny = x")[-2:] == ["var_0 comesFrom var_0,var_0", "var_1 computedFrom var_0"]
+    # A later definition hides an earlier one; only one reaches.
+    assert "var_0 comesFrom var_0" in flow("x = 1\nx = 2\ny = x")
+    # A local shadows the outer name; the outer read still sees its own definition once.
+    inner = flow("x = 1\ndef g():\n  x = 2\n  return x\nz = x")
+    assert inner.count("var_0 comesFrom var_0") == 2 and "var_0 comesFrom var_0,var_0" not in inner
+    # Nested functions read their closure.
+    assert flow("def g(a):\n  def h():\n    return a\n  return h")[0] == "var_0 comesFrom var_0"
+    # Loop-carried values: the value from before the loop and from the body both reach.
+    looped = flow("x = 0\nwhile x < 3:\n  x = x + 1\nprint(x)")
+    assert looped[-1] == "var_0 comesFrom var_0,var_0" and looped.count("var_0 comesFrom var_0,var_0") == 3
+    # A break leaves with the state before the assignment, which joins the state after it.
+    assert flow("x = 0\nfor i in r:\n  if i:\n    break\n  x = i\nprint(x)")[-1] == "var_0 comesFrom var_0,var_0"
+    # Comprehension variables are read inside the comprehension only.
+    comp = flow("y = [v for v in z if v]\nprint(v)")
+    assert comp.count("var_1 comesFrom var_1") == 2 and comp[-1] != "var_1 comesFrom var_1"
+    # Code that returns first: what follows is unreachable.
+    assert flow("def f():\n  return 1\n  x = 2\n  y = x") == []
