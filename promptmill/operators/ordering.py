@@ -9,6 +9,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
+from promptmill.functions import permutation as P
 from promptmill.functions.scores import split_size
 from promptmill.functions.text import as_column
 from promptmill.operators.joins import lookup_join
@@ -253,6 +254,20 @@ def seeded_shuffle(rows: DataFrame, key: str, seed: int = 42) -> DataFrame:
     return rows.orderBy(shuffle_value(key, seed), F.col(key))
 
 
+def keyed_positions(rows: DataFrame, number: str, n: int, seed: int = 42, name: str = "position") -> DataFrame:
+    """Rows plus their place (from 0) in a seeded shuffle, from dense numbers ``0 .. n-1`` in ``number``.
+
+    A keyed bijection (``functions.permutation``) maps each number to its place in a map: no
+    ranking shuffle, and the first k places (a split of exactly k rows) or place // b (a batch of
+    b rows) follow at once. The walk is exact: rows whose walk has not ended after one pass get
+    further passes (one check reads the place column; rarely any).
+    """
+    placed = rows.withColumn(name, P.walk(F.col(number), n, seed))
+    while placed.where(F.col(name) >= n).limit(1).count():
+        placed = placed.withColumn(name, F.when(F.col(name) >= n, P.walk(F.col(name), n, seed, first=False)).otherwise(F.col(name)))
+    return placed
+
+
 def label_split(rows: DataFrame, key: str, val_size: float, seed: int = 42) -> DataFrame:
     """Rows plus a ``split`` column: exactly the requested number are ``test``.
 

@@ -345,6 +345,42 @@ UNION ALL SELECT 'not_blank', count(*) FROM rendered
 UNION ALL SELECT 'supervised', count(*) FROM encoded WHERE len(full_ids) <= {CUTOFF} AND len(full_ids) > len(prompt_ids)"""
 
 
+def _keyed_sql() -> str:
+    from promptmill.functions import permutation as PERM
+
+    h = PERM.SQL_HALF_BITS.format(n="count(*)")
+    return f"""WITH RECURSIVE sized AS (SELECT count(*) AS n, {h} AS h FROM documents),
+walked(doc_id, v) AS (
+  SELECT doc_id, {PERM.sql_network("doc_id", "h", 42)} FROM documents, sized
+  UNION ALL
+  SELECT w.doc_id, {PERM.sql_network("w.v", "h", 42)} FROM walked w, sized WHERE w.v >= sized.n
+)
+SELECT w.doc_id, w.v AS position, (w.v // 8)::BIGINT AS batch,
+  CASE WHEN w.v < ceil(0.1 * sized.n) THEN 'test' ELSE 'train' END AS split
+FROM walked w, sized WHERE w.v < sized.n"""
+
+
+@query(_keyed_sql())
+def keyed_shuffle(spark: SparkSession, folder: str) -> DataFrame:
+    """Place, batch of 8 and a 10 % split of every document from a keyed bijection of its dense id."""
+    documents = table(spark, folder, "documents").select("doc_id")
+    found = documents.agg(
+        F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("low"), F.max("doc_id").alias("high"),
+        F.count_distinct("doc_id").alias("distinct"),
+    ).first()
+    if (found["low"], found["high"], found["distinct"]) != (0, found["n"] - 1, found["n"]) and found["n"]:
+        raise ValueError("keyed_shuffle needs ids 0 .. n-1 without gaps or repeats; number the rows first.")
+    n = found["n"]
+    placed = ordering.keyed_positions(documents, "doc_id", n, seed=42)
+    test = -(-n // 10)
+    return placed.select(
+        "doc_id",
+        "position",
+        F.floor(F.col("position") / 8).cast("bigint").alias("batch"),
+        F.when(F.col("position") < test, "test").otherwise("train").alias("split"),
+    )
+
+
 @query(STAGE_COUNTS)
 def stage_counts(spark: SparkSession, folder: str) -> DataFrame:
     """Row counts after each stage, from one pass over the rows."""

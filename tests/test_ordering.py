@@ -151,3 +151,34 @@ def test_batches_match_a_plain_computation(spark, partitions):
             assert r["input_ids"] == list(range(n)) + [9] * (width - n)
             assert r["labels"] == list(range(n)) + [-100] * (width - n)
             assert r["attention_mask"] == list(range(n)) + [0] * (width - n)
+
+
+def test_keyed_bijection_for_every_size_up_to_10000():
+    import numpy as np
+
+    from promptmill.functions import permutation as PERM
+
+    for n in range(1, 10_001):
+        placed = PERM.positions(np.arange(n), n, 42)
+        assert np.array_equal(np.sort(placed), np.arange(n)), n
+
+
+def test_keyed_positions_equal_numpy_and_duckdb(spark):
+    import duckdb
+    import numpy as np
+
+    from promptmill.functions import permutation as PERM
+    from promptmill.operators import ordering as O
+    from promptmill.plans import preparation_queries as Q
+
+    for n in (1, 2, 3, 17, 1000, 4097):
+        rows = spark.range(n).withColumnRenamed("id", "k")
+        got = sorted((r.k, r.position) for r in O.keyed_positions(rows, "k", n, seed=42).collect())
+        assert [p for _, p in got] == PERM.positions(np.arange(n), n, 42).tolist()
+    folder = "/root/testdata/sf0.01"
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{folder}/documents.parquet'")
+    want = sorted(con.execute(Q.CATALOG["keyed_shuffle"].sql if hasattr(Q, "CATALOG") else Q._keyed_sql()).fetchall())
+    got = sorted(tuple(r) for r in Q.keyed_shuffle(spark, folder).collect())
+    assert got == want
+    assert sum(1 for r in got if r[3] == "test") == 100 and len({r[1] for r in got}) == 1000
