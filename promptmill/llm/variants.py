@@ -180,13 +180,33 @@ def _decompose(frequencies: dict[str, int], words: int):
 
 
 def near_pairs(decomposed: DataFrame) -> DataFrame:
-    """``a, b``: every near pair of words once, a < b."""
-    index = decomposed.select("word", "len", F.explode("prefix").alias("gram"))
-    probe = index.select(
-        F.col("word").alias("a"), F.col("len").alias("a_len"), "gram", F.explode(F.array(F.col("len"), F.col("len") + 1)).alias("len")
+    """``a, b``: every near pair of words once, a < b.
+
+    Pairs of two weak words (bound not positive) are found by their deletion keys alone. Every
+    other pair has a strong word, whose prefix must meet the other word's prefix (a weak word's
+    prefix is all its grams): so only strong words are indexed, and every word probes the index.
+    A strong word probes its own length and the next (the shorter of two strong words finds the
+    pair); a weak word probes the lengths next to its own on both sides.
+    """
+    index = decomposed.where(F.col("bound") > 0).select(
+        F.col("word").alias("b"), F.col("len"), F.explode("prefix").alias("gram")
     )
-    by_gram = probe.join(index.withColumnRenamed("word", "b"), ["gram", "len"]).where(
-        (F.col("a_len") < F.col("len")) | (F.col("a") < F.col("b"))
+    strong = F.col("bound") > 0
+    probe = decomposed.select(
+        F.col("word").alias("a"),
+        F.col("len").alias("a_len"),
+        strong.alias("a_strong"),
+        F.explode("prefix").alias("gram"),
+    ).select(
+        "a", "a_len", "a_strong", "gram",
+        F.explode(
+            F.when(F.col("a_strong"), F.array(F.col("a_len"), F.col("a_len") + 1)).otherwise(
+                F.array(F.col("a_len") - 1, F.col("a_len"), F.col("a_len") + 1)
+            )
+        ).alias("len"),
+    )
+    by_gram = probe.join(index, ["gram", "len"]).where(
+        ~F.col("a_strong") | (F.col("a_len") < F.col("len")) | (F.col("a") < F.col("b"))
     )
     keyed = decomposed.where(F.size("keys") > 0).select("word", F.explode("keys").alias("key"))
     by_key = (
