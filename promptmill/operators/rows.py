@@ -8,11 +8,14 @@ from functools import reduce
 from operator import and_, or_
 from typing import Any
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from promptmill.functions import prompts as P
 from promptmill.functions import tokens as K
@@ -233,6 +236,60 @@ class StageCounts:
         return [(dataset, stage, int(o.get["n_rows"])) for dataset, stage, o in self.marks]
 
 
+FilterHook = Callable[[list[str], list[str]], Sequence[bool]]
+SplitHook = Callable[[str, str], Sequence[tuple[str, str]]]
+
+
+def apply_hooks(
+    rows: DataFrame,
+    keep: Sequence[str],
+    load_filter: Callable[[], FilterHook] | None = None,
+    load_splitter: Callable[[], SplitHook] | None = None,
+) -> DataFrame:
+    """``keep, piece, user_prompt, assistant_response``: rows through a user's filter and splitter.
+
+    Both hooks are loaded once per task, on the executors, and run over Arrow batches in the
+    task (``mapInArrow`` with a declared schema, so nothing is inferred). The filter gets the
+    prompts and responses of a batch and returns one boolean per row. The splitter turns one
+    (prompt, response) into any number of pairs, 0 dropping the row; ``piece`` numbers them from
+    0 (0 without a splitter). A hook that returns anything else fails the task with a TypeError.
+    """
+    keep = list(keep)
+    schema = T.StructType(
+        [rows.schema[k] for k in keep]
+        + [T.StructField("piece", T.IntegerType()), T.StructField("user_prompt", T.StringType()),
+           T.StructField("assistant_response", T.StringType())]
+    )
+    arrow = pa.schema([pa.field(f.name, to_arrow_type(f.dataType)) for f in schema.fields])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        wanted = load_filter() if load_filter else None
+        split = load_splitter() if load_splitter else None
+        for batch in batches:
+            prompts = batch.column("user_prompt").to_pylist()
+            responses = batch.column("assistant_response").to_pylist()
+            passed = list(wanted(prompts, responses)) if wanted else [True] * batch.num_rows
+            if len(passed) != batch.num_rows or not all(isinstance(p, (bool, np.bool_)) for p in passed):
+                raise TypeError("A filter hook must return one boolean per row.")
+            out: dict[str, list] = {name: [] for name in schema.fieldNames()}
+            kept_columns = {k: batch.column(k).to_pylist() for k in keep}
+            for i in range(batch.num_rows):
+                if not passed[i]:
+                    continue
+                pieces = split(prompts[i], responses[i]) if split else [(prompts[i], responses[i])]
+                for n, piece in enumerate(pieces):
+                    if not (isinstance(piece, (tuple, list)) and len(piece) == 2 and all(isinstance(t, str) for t in piece)):
+                        raise TypeError("A splitter hook must return (prompt, response) pairs of strings.")
+                    for k in keep:
+                        out[k].append(kept_columns[k][i])
+                    out["piece"].append(n)
+                    out["user_prompt"].append(piece[0])
+                    out["assistant_response"].append(piece[1])
+            yield pa.RecordBatch.from_pydict(out, arrow)
+
+    return rows.select(*keep, "user_prompt", "assistant_response").mapInArrow(run, schema)
+
+
 def supervise_or_reject(encoded: DataFrame, cutoff_len: int, keep: Sequence[str] = (), reason: str = "reason") -> DataFrame:
     """``supervise`` for lenient runs: rows without a response boundary are kept with a reason.
 

@@ -381,6 +381,29 @@ def keyed_shuffle(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def _even_prompts():
+    """A filter hook: rows whose prompt has an even number of characters."""
+    return lambda prompts, responses: [len(p) % 2 == 0 for p in prompts]
+
+
+def _sentences():
+    """A splitter hook: one row per part of the response between '. '."""
+    return lambda prompt, response: [(prompt, part) for part in response.split(". ")]
+
+
+@query(f"""WITH {PAIRS},
+mapped AS (
+  SELECT conv_id, turn, {sql_strip("instruction")} AS user_prompt, {sql_strip("output")} AS assistant_response FROM pairs
+),
+parted AS (SELECT *, string_split(assistant_response, '. ') AS parts FROM mapped WHERE length(user_prompt) % 2 = 0)
+SELECT conv_id, turn, (generate_subscripts(parts, 1) - 1)::INT AS piece, user_prompt, unnest(parts) AS assistant_response
+FROM parted""")
+def hooked_pairs(spark: SparkSession, folder: str) -> DataFrame:
+    """Mapped pairs through a user's filter hook and 1-to-N splitter hook, run in tasks."""
+    mapped = rows.map_columns(pairs(spark, folder), PLAIN, KEY)
+    return rows.apply_hooks(mapped, KEY, _even_prompts, _sentences)
+
+
 @query(STAGE_COUNTS)
 def stage_counts(spark: SparkSession, folder: str) -> DataFrame:
     """Row counts after each stage, from one pass over the rows."""

@@ -20,7 +20,7 @@ from promptmill.sources.datasets import CORRUPT, POSITION, read_dataset, read_sc
 from promptmill.sources.registry import DatasetSpec, dataset_names, load_registry, resolve_dataset
 
 # Digits of a dataset's and of a row's number in a row id, so that ids sort like numbers.
-DATASET_DIGITS, ROW_DIGITS = 6, 19
+DATASET_DIGITS, ROW_DIGITS, PIECE_DIGITS = 6, 19, 10
 
 
 @dataclass(frozen=True)
@@ -39,6 +39,9 @@ class PreparationOptions:
     overwrite_cache: bool = False
     # Lenient runs: rows that would fail the job are written here instead (dataset, row_number, reason).
     quarantine_path: str | None = None
+    # User hooks, loaded once per task on the executors (see ``rows.apply_hooks``).
+    load_filter: Callable[[], rows.FilterHook] | None = None
+    load_splitter: Callable[[], rows.SplitHook] | None = None
     names: list[str] = field(init=False)
 
     def __post_init__(self) -> None:
@@ -74,16 +77,26 @@ def format_dataset(
     mapped = mark(rows.map_columns(kept, spec, keep, options.reuse_source), "raw")
     numbered = ordering.number_rows(mapped, POSITION[:2])
     if not lenient:
-        return mark(rows.drop_blank(numbered.select("row_number", "user_prompt", "assistant_response")), "not_blank")
+        formatted = mark(rows.drop_blank(numbered.select("row_number", "user_prompt", "assistant_response")), "not_blank")
+        return _hooked(formatted, options)
     present = (strip("user_prompt") != "") & (strip("assistant_response") != "")
     selected = numbered.select(
         "row_number",
         *[F.coalesce(F.col(c), F.lit("")).alias(c) for c in ("user_prompt", "assistant_response")],
         "reason",
     ).filter(F.col("reason").isNotNull() | present)
+    if options.load_filter or options.load_splitter:
+        raise ValueError("User hooks and a quarantine table cannot be combined yet.")
     return mark(selected, "not_blank", clean)
 
 
+def _hooked(formatted: DataFrame, options: PreparationOptions) -> DataFrame:
+    """The user's filter and splitter, if any; ``piece`` numbers the rows a splitter makes of one row."""
+    if not (options.load_filter or options.load_splitter):
+        return formatted
+    return rows.apply_hooks(formatted, ["row_number"], options.load_filter, options.load_splitter)
+
+
 def tokenize(
     formatted: DataFrame, options: PreparationOptions, keep: Sequence[str], counts: rows.StageCounts | None = None, name: str = ""
 ) -> DataFrame:
@@ -107,13 +120,17 @@ def build_rows(spark: SparkSession, options: PreparationOptions, counts: rows.St
     """
     registry = load_registry(spark, options.dataset_dir)
     specs = [resolve_dataset(spark, registry, options.dataset_dir, name) for name in options.names]
+    hooked = bool(options.load_filter or options.load_splitter)
+    keep = ["row_number", "piece"] if hooked else ["row_number"]
     parts = [
-        (spec.name, tokenize(format_dataset(spark, spec, options, counts), options, ["row_number"], counts, spec.name))
+        (spec.name, tokenize(format_dataset(spark, spec, options, counts), options, keep, counts, spec.name))
         for spec in specs
     ]
-    row_id = F.concat_ws(
-        ":", F.lpad(F.col("dataset_order").cast("string"), DATASET_DIGITS, "0"), F.lpad(F.col("row_number").cast("string"), ROW_DIGITS, "0")
-    )
+    numbers = [F.lpad(F.col("dataset_order").cast("string"), DATASET_DIGITS, "0"), F.lpad(F.col("row_number").cast("string"), ROW_DIGITS, "0")]
+    if hooked:
+        # Rows a splitter made of one row follow it in order.
+        numbers.append(F.lpad(F.col("piece").cast("string"), PIECE_DIGITS, "0"))
+    row_id = F.concat_ws(":", *numbers)
     extra = ["reason"] if options.quarantine_path is not None else []
     return ordering.concat_datasets(parts).select(
         row_id.alias("row_id"), "dataset", "input_ids", "labels", "attention_mask", *extra
@@ -125,7 +142,7 @@ def identity(spark: SparkSession, options: PreparationOptions) -> str:
     registry = load_registry(spark, options.dataset_dir)
     specs = [resolve_dataset(spark, registry, options.dataset_dir, name) for name in options.names]
     files = [paths.signature(spark, spec.path) for spec in specs]
-    code = cloudpickle.dumps(options.load_tokenizer) if options.load_tokenizer else b""
+    code = b"".join(cloudpickle.dumps(f) if f else b"" for f in (options.load_tokenizer, options.load_filter, options.load_splitter))
     parts = (specs, files, options.max_samples, options.cutoff_len, options.reuse_source, options.quarantine_path is not None)
     return hashlib.sha256(repr(parts).encode() + code).hexdigest()
 

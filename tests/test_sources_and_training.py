@@ -323,3 +323,47 @@ def test_lenient_runs_quarantine_malformed_rows_and_rows_without_a_boundary(spar
     assert [(r.dataset, r.row_number) for r in rejected] == [("two", 2), ("two", 4)]
     assert rejected[0].reason.startswith("Malformed JSON") and "differ" in rejected[1].reason
     assert counts == [("two", "raw", 6), ("two", "not_blank", 5), ("two", "supervised", 4)]
+
+
+def test_filter_and_splitter_hooks_run_inside_the_preparation(spark, tmp_path):
+    # Hooks defined inside the test travel by value, as a user's own functions do.
+    def _short_prompts():
+        return lambda prompts, responses: [len(p) < 2 for p in prompts]
+
+    def _twice():
+        return lambda prompt, response: [(prompt, response), (prompt, response + " again")]
+
+    folder = training_folder(tmp_path)
+    options = PreparationOptions("two", folder, cutoff_len=4096, load_filter=_short_prompts, load_splitter=_twice)
+    got = prepare_training_data(spark, options).orderBy("row_id").collect()
+    # Prompts q0..q5 are two characters long: the filter keeps none of them.
+    assert got == []
+    keep_all = PreparationOptions("two", folder, cutoff_len=4096, load_splitter=_twice)
+    got = prepare_training_data(spark, keep_all).orderBy("row_id").collect()
+    assert len(got) == 12
+    assert [r.row_id.split(":")[1:] for r in got[:2]] == [["0" * 19, "0" * 10], ["0" * 19, "0" * 9 + "1"]]
+
+
+def test_hook_returning_the_wrong_type_fails(spark, tmp_path):
+    folder = training_folder(tmp_path)
+
+    def bad():
+        return lambda prompt, response: "not pairs"
+
+    with pytest.raises(Exception, match="pairs of strings"):
+        prepare_training_data(spark, PreparationOptions("two", folder, load_splitter=bad)).count()
+
+
+def test_hooked_pairs_query_equals_its_sql(spark):
+    import duckdb
+
+    from promptmill.plans import preparation_queries as Q
+    from promptmill.plans.catalog import CATALOG
+
+    folder = "/root/testdata/sf0.01"
+    con = duckdb.connect()
+    for name in ("conversations",):
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{folder}/{name}.parquet'")
+    want = sorted(con.execute(CATALOG["hooked_pairs"].sql).fetchall())
+    got = sorted(tuple(r) for r in Q.hooked_pairs(spark, folder).collect())
+    assert got == want and len(got) > 0
