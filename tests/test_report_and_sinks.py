@@ -125,3 +125,29 @@ def test_scratch_table_keeps_rows_and_types(spark):
     stored = scratch.scratch_table(rows)
     assert stored.dtypes == rows.dtypes and stored.count() == 3
     assert "Range" not in stored._jdf.queryExecution().executedPlan().toString()
+
+
+def test_publication_is_atomic(spark, tmp_path):
+    from promptmill.sinks import tables
+
+    path = str(tmp_path / "published")
+
+    def build(n):
+        return lambda: spark.range(n).withColumnRenamed("id", "x")
+
+    assert tables.prepared_table(spark, path, build(3), "one").count() == 3
+    assert tables.prepared_table(spark, path, build(99), "one").count() == 3  # reused
+
+    # A run that dies while writing its build leaves the published table as it was.
+    def broken():
+        return spark.range(5).selectExpr("raise_error('stopped') AS x")
+
+    with pytest.raises(Exception):
+        tables.prepared_table(spark, path, broken, "two")
+    assert tables.current_version(spark, path)[1] == "one"
+    assert tables.prepared_table(spark, path, build(99), "one").count() == 3
+
+    # A new identity publishes a new build; old builds beyond the kept one are removed.
+    for n, name in ((4, "two"), (5, "three"), (6, "four")):
+        assert tables.prepared_table(spark, path, build(n), name).count() == n
+    assert len(list((tmp_path / "published" / tables.VERSIONS).iterdir())) <= tables.KEPT_VERSIONS + 2
