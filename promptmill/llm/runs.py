@@ -11,10 +11,10 @@ shuffled together and stitched where they touch: the stitched stretch is the who
 A document of at most ``TILE_WORDS`` words is one tile for every octave, and is finished in
 the task that reads it.
 
-Extensions are read from rank tables (prefix doubling over all tiles of an Arrow batch, sorted
-with numpy): ``rank[k][i]`` names the ``2**k`` words from i. That gives every Z-value of a
-sample point in ``log`` steps, vectorised over all sample points and periods at once.
-Words are compared exactly (as strings).
+Z-values are found by direct extension, vectorised over all sample points and periods of an
+Arrow batch at once, ``STEP`` words a step; only sample points whose words already agree at
+``c, c + q`` (or just before) are extended, and each leaves at its first difference. Words are
+compared exactly: Arrow's dictionary encoding gives equal words equal integers.
 """
 
 from __future__ import annotations
@@ -24,6 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -74,32 +75,30 @@ def octaves(n: int) -> range:
     return range(top)
 
 
-class Ranks:
-    """Rank tables over word ids: equal ranks at level k mean equal runs of 2**k words."""
-
-    def __init__(self, ids: np.ndarray, levels: int) -> None:
-        n = ids.size
-        self.n = n
-        self.table = [np.unique(ids, return_inverse=True)[1].astype(np.int64)]
-        pad = -np.arange(2, n + 2, dtype=np.int64)  # unique values past the end
-        for k in range(1, levels + 1):
-            h = 1 << (k - 1)
-            last = self.table[-1]
-            shifted = np.concatenate([last[h:], pad[: min(h, n)]]) if h < n else pad[:n]
-            key = last * (2 * n + 3) + (shifted + n + 2)
-            self.table.append(np.unique(key, return_inverse=True)[1].astype(np.int64))
-
-    def extension(self, x: np.ndarray, y: np.ndarray, most: np.ndarray) -> np.ndarray:
-        """Longest common extension of positions x and y, at most ``most``."""
-        got = np.zeros(x.size, np.int64)
-        for k in range(len(self.table) - 1, -1, -1):
-            h = 1 << k
-            xi, yi = x + got, y + got
-            ok = (got + h <= most) & (xi + h <= self.n) & (yi + h <= self.n)
-            idx = np.flatnonzero(ok)
-            same = self.table[k][xi[idx]] == self.table[k][yi[idx]]
-            got[idx[same]] += h
-        return got
+# Words compared at once per step of an extension.
+STEP = 8
+
+
+def extension(flat: np.ndarray, x: np.ndarray, y: np.ndarray, most: np.ndarray) -> np.ndarray:
+    """Longest common extension of positions x and y of ``flat``, at most ``most``: Z-values.
+
+    Vectorised over all queries, ``STEP`` words a step; a query leaves as soon as it differs.
+    Separators after each tile are unique, so no extension crosses a tile's end.
+    """
+    got = np.zeros(x.size, np.int64)
+    active = np.flatnonzero(most > 0)
+    offsets = np.arange(STEP)
+    size = flat.size
+    while active.size:
+        at_x = np.minimum(x[active, None] + got[active, None] + offsets, size - 1)
+        at_y = np.minimum(y[active, None] + got[active, None] + offsets, size - 1)
+        same = flat[at_x] == flat[at_y]
+        same &= (got[active, None] + offsets) < most[active, None]
+        same &= (x[active, None] + got[active, None] + offsets < size) & (y[active, None] + got[active, None] + offsets < size)
+        run = np.where(same.all(1), STEP, np.argmin(same, 1))
+        got[active] += run
+        active = active[run == STEP]
+    return got
 
 
 def _prime_factors(q: int) -> list[int]:
@@ -113,29 +112,29 @@ def _prime_factors(q: int) -> list[int]:
     return out + ([q] if q > 1 else [])
 
 
-def solve(tile_words: list[list[str]], specs: list[tuple[int, int, int, int, int, int, int]]) -> list[np.ndarray]:
+def solve(tile_ids: list[np.ndarray], specs: list[tuple[int, int, int, int, int, int, int]]) -> list[np.ndarray]:
     """Fragments ``(q, s, e, primitive)`` of each tile, positions of the document; e is past the last word.
 
-    ``specs[t] = (n, j_lo, j_hi, core_lo, core_hi, lo, hi)``; ``tile_words[t]`` are words lo..hi.
-    A fragment is a stretch with period q found from a sample point; it is kept if it is long
-    enough to be a run or reaches a cut edge of the tile (it may then be part of a longer run).
+    ``specs[t] = (n, j_lo, j_hi, core_lo, core_hi, lo, hi)``; ``tile_ids[t]`` are the words lo..hi as
+    integers (equal words, equal integers; negative ones are not allowed). A fragment is a stretch
+    with period q found from a sample point; it is kept if it is long enough to be a run or reaches
+    a cut edge of the tile (it may then be part of a longer run).
     """
-    vocab: dict[str, int] = {}
+    if any(len(ids) and not isinstance(ids, np.ndarray) for ids in tile_ids):
+        vocab: dict = {}
+        tile_ids = [np.fromiter((vocab.setdefault(w, len(vocab)) for w in ids), np.int64, len(ids)) for ids in tile_ids]
     parts, starts = [], []
     at = 0
-    for t, words in enumerate(tile_words):
-        ids = np.fromiter((vocab.setdefault(w, len(vocab)) for w in words), np.int64, len(words))
+    for t, ids in enumerate(tile_ids):
         # A separator of its own after each tile: no extension crosses it.
-        parts.append(np.concatenate([ids, [-1 - t]]))
+        parts.append(np.concatenate([np.asarray(ids, np.int64), [-1 - t]]))
         starts.append(at)
-        at += len(words) + 1
+        at += len(ids) + 1
     out = [np.zeros((0, 4), np.int64) for _ in specs]
     if not at:
         return out
     flat = np.concatenate(parts)
-    longest = max((len(w) for w in tile_words), default=1)
-    levels = max(1, int(np.ceil(np.log2(longest + 1))))
-    forward, backward = Ranks(flat, levels), Ranks(flat[::-1].copy(), levels)
+    reverse = flat[::-1].copy()
     queries = []  # tile, c (document), q, base (flat index of the tile's first word)
     for t, (n, j_lo, j_hi, core_lo, core_hi, lo, hi) in enumerate(specs):
         for j in range(j_lo, j_hi + 1):
@@ -160,9 +159,9 @@ def solve(tile_words: list[list[str]], specs: list[tuple[int, int, int, int, int
     behind = (c > lo) & (flat[x - 1] == flat[x + q - 1])
     live = np.flatnonzero(ahead | behind)
     t, c, q, shift, lo, hi, n, x = (v[live] for v in (t, c, q, shift, lo, hi, n, x))
-    f = forward.extension(x, x + q, hi - c - q)
+    f = extension(flat, x, x + q, hi - c - q)
     size = flat.size
-    b = np.where(c > lo, backward.extension(size - (x), size - (x + q), c - lo), 0)
+    b = np.where(c > lo, extension(reverse, np.minimum(size - x, size - 1), size - (x + q), np.where(c > lo, c - lo, 0)), 0)
     s, e = c - b, c + f
     long_enough = e - s + q >= np.maximum(6, 4 * q)
     cut = ((s == lo) & (lo > 0)) | ((e + q == hi) & (hi < n))
@@ -175,7 +174,7 @@ def solve(tile_words: list[list[str]], specs: list[tuple[int, int, int, int, int
         for p in _prime_factors(int(m)):
             part = int(m) // p
             at_s = s[rows] + shift[rows]
-            ext = forward.extension(at_s, at_s + part, np.full(rows.size, int(m) - part))
+            ext = extension(flat, at_s, at_s + part, np.full(rows.size, int(m) - part))
             primitive[rows[ext >= int(m) - part]] = False
     found = np.unique(np.stack([t, q, s, e, primitive.astype(np.int64)], 1), axis=0) if t.size else np.zeros((0, 5), np.int64)
     for tile in np.unique(found[:, 0]):
@@ -220,34 +219,60 @@ def _words_batches(batch: pa.RecordBatch, column: str) -> Iterator[pa.RecordBatc
             yield batch.slice(lo, hi - lo)
 
 
+def _encoded(words: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
+    """Integer ids of all words of a list column (equal words, equal ids; found by Arrow), and row offsets."""
+    ids = pc.dictionary_encode(words.flatten()).indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    offsets = words.offsets.to_numpy().astype(np.int64)
+    return ids, offsets - offsets[0]
+
+
+_EMPTY_SHA = hashlib.sha256(b"").hexdigest()
+
+
 def _whole_documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Documents of one tile: found, stitched (nothing to stitch) and digested in their task."""
+    """Documents of one tile: found, stitched (nothing to stitch) and digested in their task.
+
+    Words stay in Arrow; only documents with runs are turned into Python strings. For the others
+    the digest of all words (``_all_sha``, computed by Spark) is the collapsed digest.
+    """
     names = [c.split()[0] for c in _DIGESTS.split(", ")]
+    schema = pa.schema([(k, pa.int64()) for k in names[:5]] + [(k, pa.string()) for k in names[5:]])
     for batch in batches:
         for part in _words_batches(batch, "_words"):
-            words = part.column("_words").to_pylist()
-            specs = [(len(w), 0, max(octaves(len(w)), default=-1), 0, len(w), 0, len(w)) for w in words]
-            found = solve(words, specs)
-            rows = [digests(w, runs_of(f)) for w, f in zip(words, found)]
+            column = part.column("_words")
+            ids, offsets = _encoded(column)
+            sizes = np.diff(offsets)
+            docs = [ids[offsets[i] : offsets[i + 1]] for i in range(part.num_rows)]
+            specs = [(int(n), 0, max(octaves(int(n)), default=-1), 0, int(n), 0, int(n)) for n in sizes]
+            found = solve(docs, specs)
+            all_sha = part.column("_all_sha").to_pylist()
+            rows = []
+            for i, fragments in enumerate(found):
+                runs = runs_of(fragments)
+                if runs:
+                    rows.append(digests(column[i].as_py(), runs))
+                else:
+                    rows.append((0, None, None, None, None, _EMPTY_SHA, all_sha[i]))
             columns = dict(zip(names, zip(*rows))) if rows else {k: [] for k in names}
-            yield pa.RecordBatch.from_pydict(
-                {"_id": part.column("_id"), **{k: list(v) for k, v in columns.items()}},
-                pa.schema([("_id", part.schema.field("_id").type)] + [(k, pa.int64()) for k in names[:5]] + [(k, pa.string()) for k in names[5:]]),
-            )
+            body = pa.RecordBatch.from_pydict({k: list(v) for k, v in columns.items()}, schema)
+            yield pa.RecordBatch.from_arrays([part.column("_id"), *body.columns], [ "_id", *names])
 
 
 def _tile_fragments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    schema = pa.schema([("_key", pa.int64()), ("q", pa.int64()), ("s", pa.int64()), ("e", pa.int64()), ("primitive", pa.bool_())])
     for batch in batches:
         for part in _words_batches(batch, "words"):
-            words = part.column("words").to_pylist()
+            ids, offsets = _encoded(part.column("words"))
+            tiles = [ids[offsets[i] : offsets[i + 1]] for i in range(part.num_rows)]
             cols = {k: part.column(k).to_pylist() for k in ("n", "j_lo", "j_hi", "core_lo", "core_hi", "lo", "hi")}
-            specs = list(zip(*cols.values()))
-            found = solve(words, specs)
-            keys = part.column("_key").to_pylist()
-            rows = [(k, *f) for k, fs in zip(keys, found) for f in fs.tolist()]
-            yield pa.RecordBatch.from_pylist(
-                [dict(zip(("_key", "q", "s", "e", "primitive"), (k, q, s, e, bool(p)))) for k, q, s, e, p in rows],
-                pa.schema([("_key", pa.int64()), ("q", pa.int64()), ("s", pa.int64()), ("e", pa.int64()), ("primitive", pa.bool_())]),
+            found = solve(tiles, list(zip(*cols.values())))
+            keys = part.column("_key").to_numpy()
+            sizes = [len(f) for f in found]
+            stacked = np.concatenate(found) if any(sizes) else np.zeros((0, 4), np.int64)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.repeat(keys, sizes)), pa.array(stacked[:, 0]), pa.array(stacked[:, 1]), pa.array(stacked[:, 2]),
+                 pa.array(stacked[:, 3].astype(bool))],
+                schema=schema,
             )
 
 
@@ -310,7 +335,9 @@ def periodic_runs(docs: DataFrame, id_column: str = "doc_id", text_column: str =
     # Words are found once; the planted period refers to them several times.
     words = planted(F.col("_found"), F.col("_id")) if plant else F.col("_found")
     rows = found.select("_id", words.alias("_words"), "_key")
-    short = rows.where(F.size("_words") <= TILE_WORDS).select("_id", "_words")
+    short = rows.where(F.size("_words") <= TILE_WORDS).select(
+        "_id", "_words", F.sha2(F.array_join("_words", " "), 256).alias("_all_sha")
+    )
     done = short.mapInArrow(_whole_documents, f"_id {kind}, {_DIGESTS}")
     long = rows.where(F.size("_words") > TILE_WORDS)
     tiled = long.select("_key", F.size("_words").cast("bigint").alias("n"), F.inline(_tile_specs(F.size("_words"))), "_words").select(
