@@ -367,3 +367,32 @@ def test_hooked_pairs_query_equals_its_sql(spark):
     want = sorted(con.execute(CATALOG["hooked_pairs"].sql).fetchall())
     got = sorted(tuple(r) for r in Q.hooked_pairs(spark, folder).collect())
     assert got == want and len(got) > 0
+
+
+def test_incremental_cache_tokenises_new_files_only(spark, tmp_path):
+    from promptmill.plans.incremental import prepare_incremental
+    from promptmill.plans.training import build_rows
+
+    data = tmp_path / "data"
+    data.mkdir()
+    folder = data / "parts"
+    folder.mkdir()
+    for n in range(3):
+        (folder / f"f{n}.jsonl").write_text("".join(json.dumps({"query": f"q{n}-{i}", "response": f"r{i}"}) + "\n" for i in range(4)))
+    registry = write_registry(data, {"many": {"file_name": "parts", "columns": {"instruction": "query", "output": "response"}}})
+    cache = str(tmp_path / "cache")
+    options = PreparationOptions("many,many", registry, cutoff_len=4096, max_samples=10, cache_path=cache)
+
+    def full():
+        plain = PreparationOptions("many,many", registry, cutoff_len=4096, max_samples=10)
+        return sorted((r.row_id, r.dataset, list(r.input_ids)) for r in build_rows(spark, plain).collect())
+
+    got, built = prepare_incremental(spark, options)
+    assert len(built) == 3
+    assert sorted((r.row_id, r.dataset, list(r.input_ids)) for r in got.collect()) == full()
+    got, built = prepare_incremental(spark, options)
+    assert built == []
+    (folder / "f1b.jsonl").write_text(json.dumps({"query": "new", "response": "one"}) + "\n")
+    got, built = prepare_incremental(spark, options)
+    assert [b.rsplit("/", 1)[1] for b in built] == ["f1b.jsonl"]
+    assert sorted((r.row_id, r.dataset, list(r.input_ids)) for r in got.collect()) == full()
