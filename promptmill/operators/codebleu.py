@@ -155,6 +155,11 @@ def ngram_bleu(
     A pair adds at least one n-gram of every order to a denominator, even if its texts
     are too short to have any.
     """
+    return ngram_bleu_of(pair_ngrams(pairs, pair, partitions), by)
+
+
+def ngram_bleu_of(per_pair: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """``ngram_bleu`` from the clipped counts of each pair (``pair_ngrams``), as stored or merged."""
 
     def total(value: Column) -> Column:
         return F.coalesce(F.sum(value), F.lit(0)).cast("double")
@@ -170,7 +175,7 @@ def ngram_bleu(
             total(F.col(f"wm{n}")).alias(f"wm{n}"),
             total(floored(f"wr{n}")).alias(f"wr{n}"),
         ]
-    corpus = pair_ngrams(pairs, pair, partitions).groupBy(*by).agg(*sums)
+    corpus = per_pair.groupBy(*by).agg(*sums)
     candidate_len, reference_len = F.col("candidate_len"), F.col("reference_len")
     brevity = (
         F.when(candidate_len > reference_len, F.lit(1.0))
@@ -195,13 +200,17 @@ def structure_match(
 
     ``syntax_rate`` is the share of candidates that parse, from the same parse.
     """
+    return structure_match_of(pair_structure(pairs, pair, partitions), by)
+
+
+def structure_match_of(per_pair: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """``structure_match`` from the clipped matches of each pair (``pair_structure``), as stored or merged."""
 
     def share(kind: int) -> Column:
         found, wanted = F.sum(f"m{kind}"), F.sum(f"r{kind}")
         return F.when(wanted > 0, found / wanted).otherwise(F.lit(0.0))
 
-    matches = pair_structure(pairs, pair, partitions)
-    return matches.groupBy(*by).agg(
+    return per_pair.groupBy(*by).agg(
         share(SUBTREE).alias("syntax_match"),
         share(EDGE).alias("dataflow_match"),
         F.avg(F.col(f"c{PARSES}").cast("double")).alias("syntax_rate"),
@@ -217,7 +226,12 @@ def code_bleu(
     Both halves read the same placed texts, which Spark shuffles once. The join sees one
     row per group.
     """
-    grams, shapes = ngram_bleu(pairs, pair, by, partitions), structure_match(pairs, pair, by, partitions)
+    return code_bleu_of(pair_ngrams(pairs, pair, partitions), pair_structure(pairs, pair, partitions), by)
+
+
+def code_bleu_of(per_pair_ngrams: DataFrame, per_pair_structure: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """``code_bleu`` from per-pair partial counts, as stored or merged."""
+    grams, shapes = ngram_bleu_of(per_pair_ngrams, by), structure_match_of(per_pair_structure, by)
     joined = grams.join(shapes, list(by)) if by else grams.crossJoin(shapes)
     # The public scorer lets a data-flow match of zero count as one.
     flow = F.col("dataflow_match")

@@ -151,3 +151,29 @@ def test_publication_is_atomic(spark, tmp_path):
     for n, name in ((4, "two"), (5, "three"), (6, "four")):
         assert tables.prepared_table(spark, path, build(n), name).count() == n
     assert len(list((tmp_path / "published" / tables.VERSIONS).iterdir())) <= tables.KEPT_VERSIONS + 2
+
+
+def test_report_state_merged_over_three_batches_equals_a_full_report(spark, tables, tmp_path):
+    from promptmill.operators.report_state import merge_batch, report_from_state
+
+    completions, tasks, verdicts = tables
+    more = [("humaneval", "0", 2, "def f(a):\n    return a + 0"), ("mbpp", "0", 0, "def g(b):\n    return b * 1")]
+    batches = [
+        (COMPLETIONS[:2], VERDICTS[:2]),
+        (COMPLETIONS[2:], VERDICTS[2:]),
+        # A new sample, and mbpp sample 0 replaced: new text, now failing.
+        (more, [("humaneval", "0", 2, True), ("mbpp", "0", 0, False)]),
+    ]
+    root = str(tmp_path / "state")
+    everything, verdict_rows = {}, {}
+    for rows, outcomes in batches:
+        frame = spark.createDataFrame(rows, "benchmark string, task_id string, sample_idx int, text string")
+        paired = pair_candidates(clean_completions(frame), tasks)
+        merge_batch(spark, root, paired, spark.createDataFrame(outcomes, "benchmark string, task_id string, sample_idx int, passed boolean"))
+        everything.update({r[:3]: r for r in rows})
+        verdict_rows.update({r[:3]: r for r in outcomes})
+        all_rows = spark.createDataFrame(list(everything.values()), "benchmark string, task_id string, sample_idx int, text string")
+        all_verdicts = spark.createDataFrame(list(verdict_rows.values()), "benchmark string, task_id string, sample_idx int, passed boolean")
+        full = metrics_report(pair_candidates(clean_completions(all_rows), tasks), all_verdicts, "1,2")
+        merged = report_from_state(spark, root, "1,2")
+        assert sorted(map(tuple, merged.collect())) == sorted(map(tuple, full.collect()))
