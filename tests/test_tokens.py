@@ -18,7 +18,7 @@ def test_unwrap_ids(one):
 
 @pytest.mark.parametrize(
     ("prompt", "full", "boundary"),
-    [([10, 11, 12], [10, 11, 12, 20, 21], 3), ([1, 2, 9], [1, 2, 3, 4], 2), ([9, 1], [9, 2], 1), ([1], [1], 1)],
+    [([7, 8, 9], [7, 8, 9, 40, 41], 3), ([1, 2, 9], [1, 2, 3, 4], 2), ([9, 1], [9, 2], 1), ([1], [1], 1)],
 )
 def test_boundary(one, prompt, full, boundary):
     assert one(K.response_boundary(ints(*prompt), ints(*full))) == boundary
@@ -34,14 +34,15 @@ def test_boundary_errors(one):
 
 
 def test_labels_and_mask(one):
-    full = ints(10, 11, 12, 20, 21)
+    full = ints(7, 8, 9, 40, 41)
     labels, mask = one(K.mask_labels(full, F.lit(3)), K.attention_mask(full))
-    assert labels == [-100, -100, -100, 20, 21] and mask == [1] * 5
+    assert labels == [-100, -100, -100, 40, 41] and mask == [1] * 5
 
 
 @pytest.mark.parametrize(
     ("source", "target", "cutoff", "kept"),
-    [(3000, 2000, 1000, (600, 400)), (100, 1000, 1000, (100, 900)), (900, 100, 1000, (900, 100)), (5, 5, 100, (5, 5))],
+    # By hand: proportional share; a short side keeps all and the other gets the rest.
+    [(1500, 500, 800, (600, 200)), (50, 700, 400, (50, 350)), (700, 60, 500, (440, 60)), (3, 4, 64, (3, 4))],
 )
 def test_truncation_budget(one, source, target, cutoff, kept):
     assert tuple(one(K.truncation_budget(F.lit(source), F.lit(target), cutoff))) == kept
