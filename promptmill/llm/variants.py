@@ -49,9 +49,9 @@ DIVISOR = 97
 LEAST_CHARS, LEAST_COUNT = 5, 3
 
 # Gram lengths.
-Q_MIN, Q_MAX = 2, 4
+Q_MIN, Q_MAX = 2, 6
 # A gram held by more than this share of all words is extended.
-EXTEND_SHARE = 1 / 64
+EXTEND_SHARE = 1 / 512
 # Grams whose frequencies are known to every task (most frequent first), bounding what is shipped.
 DICTIONARY_MOST = 1 << 14
 
