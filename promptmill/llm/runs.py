@@ -326,20 +326,27 @@ def periodic_runs(docs: DataFrame, id_column: str = "doc_id", text_column: str =
     With ``plant`` the contract's planted period is applied first (see ``planted``).
     """
     kind = docs.schema[id_column].dataType.simpleString()
-    found = docs.select(
-        F.col(id_column).alias("_id"),
-        words_of(F.col(text_column)).alias("_found"),
-        # A key that is the same whenever the scan is read again.
-        F.xxhash64(F.input_file_name(), F.monotonically_increasing_id()).alias("_key"),
-    )
-    # Words are found once; the planted period refers to them several times.
-    words = planted(F.col("_found"), F.col("_id")) if plant else F.col("_found")
-    rows = found.select("_id", words.alias("_words"), "_key")
+
+    def with_words(texts: DataFrame) -> DataFrame:
+        found = texts.select(
+            F.col(id_column).alias("_id"),
+            words_of(F.col(text_column)).alias("_found"),
+            # A key that is the same whenever the scan is read again.
+            F.xxhash64(F.input_file_name(), F.monotonically_increasing_id()).alias("_key"),
+        )
+        # Words are found once; the planted period refers to them several times.
+        words = planted(F.col("_found"), F.col("_id")) if plant else F.col("_found")
+        return found.select("_id", words.alias("_words"), "_key")
+
+    rows = with_words(docs)
+    # n words take 2n - 1 code points at least: shorter texts are never long, and the scans
+    # for long documents find no words in them.
+    maybe_long = with_words(docs.where(F.length(F.col(text_column)) >= 2 * TILE_WORDS + 1))
     short = rows.where(F.size("_words") <= TILE_WORDS).select(
         "_id", "_words", F.sha2(F.array_join("_words", " "), 256).alias("_all_sha")
     )
     done = short.mapInArrow(_whole_documents, f"_id {kind}, {_DIGESTS}")
-    long = rows.where(F.size("_words") > TILE_WORDS)
+    long = maybe_long.where(F.size("_words") > TILE_WORDS)
     tiled = long.select("_key", F.size("_words").cast("bigint").alias("n"), F.inline(_tile_specs(F.size("_words"))), "_words").select(
         "_key", "n", "j_lo", "j_hi", "core_lo", "core_hi", "lo", "hi",
         F.slice("_words", (F.col("lo") + 1).cast("int"), (F.col("hi") - F.col("lo")).cast("int")).alias("words"),
