@@ -136,17 +136,27 @@ def solve(tile_ids: list[np.ndarray], specs: list[tuple[int, int, int, int, int,
     flat = np.concatenate(parts)
     reverse = flat[::-1].copy()
     queries = []  # tile, c (document), q, base (flat index of the tile's first word)
-    for t, (n, j_lo, j_hi, core_lo, core_hi, lo, hi) in enumerate(specs):
-        for j in range(j_lo, j_hi + 1):
-            d = 2 << j
-            first = -(-core_lo // d) * d
-            cs = np.arange(first, core_hi, d, dtype=np.int64)
-            qs = np.arange(1 << j, min(d, n // 4 + 1), dtype=np.int64)
-            if cs.size == 0 or qs.size == 0:
-                continue
-            c, q = np.repeat(cs, qs.size), np.tile(qs, cs.size)
-            keep = c + q < hi
-            queries.append(np.stack([np.full(keep.sum(), t), c[keep], q[keep], np.full(keep.sum(), starts[t] - lo)], 1))
+    spec = np.array(specs, np.int64).reshape(-1, 7)
+    n_all, j_lo, j_hi, core_lo, core_hi, lo_all, hi_all = spec.T
+    base_all = np.asarray(starts, np.int64) - lo_all
+    for j in range(int(j_lo.min(initial=0)), int(j_hi.max(initial=-1)) + 1):
+        # All tiles of this octave at once: sample points c of the core times periods q.
+        tiles = np.flatnonzero((j_lo <= j) & (j <= j_hi))
+        d = 2 << j
+        first = -(-core_lo[tiles] // d) * d
+        count_c = np.maximum(0, -(-(core_hi[tiles] - first) // d))
+        count_q = np.maximum(0, np.minimum(d, n_all[tiles] // 4 + 1) - (1 << j))
+        pairs = count_c * count_q
+        total = int(pairs.sum())
+        if not total:
+            continue
+        tile = np.repeat(tiles, pairs)
+        k = np.arange(total) - np.repeat(np.cumsum(pairs) - pairs, pairs)
+        per = np.repeat(count_q, pairs)
+        c = np.repeat(first, pairs) + (k // per) * d
+        q = (1 << j) + k % per
+        keep = c + q < hi_all[tile]
+        queries.append(np.stack([tile[keep], c[keep], q[keep], base_all[tile][keep]], 1))
     if not queries:
         return out
     t, c, q, shift = np.concatenate(queries).T
