@@ -143,12 +143,17 @@ def _nth_key(keys: DataFrame, order: Sequence[str], n: int) -> Row | None:
             return reached.orderBy("_reached").select(*keys.columns).first()
 
 
+# Up to this n, the keys of the first n + 1 rows are taken in one pass and sent to the driver.
+FIRST_ON_DRIVER = 10_000
+
+
 def head_n(rows: DataFrame, order: Sequence[str], n: int | None) -> DataFrame:
     """The first ``n`` rows by ``order``; fewer if there are fewer; all for None.
 
     ``order`` names columns; a leading minus turns one around. Nulls come first, in a
     descending column last. The last key of the ``n`` is found on the key columns alone,
-    then the rows are filtered in a map, whatever ``n`` is. If more rows share that key
+    then the rows are filtered in a map, whatever ``n`` is: for n up to ``FIRST_ON_DRIVER`` by
+    one ordered take of n + 1 keys, beyond it by counting ranges of different keys. If more rows share that key
     than fit, the order does not say which to take, and that is an error.
     """
     if n is None:
@@ -156,12 +161,22 @@ def head_n(rows: DataFrame, order: Sequence[str], n: int | None) -> DataFrame:
     if n <= 0:
         return rows.limit(0)
     keys = rows.select(*[_direction(name)[0] for name in order])
+    tied = ValueError(f"Rows number {n} and {n + 1} by {', '.join(order)} are tied; order by a further column.")
+    if n <= FIRST_ON_DRIVER:
+        # One pass: each task keeps its first n + 1 keys, and n + 1 keys (at most) reach the driver.
+        firsts = keys.orderBy(*_sorted_by(order)).limit(n + 1).collect()
+        if len(firsts) <= n:
+            return rows
+        last = firsts[n - 1]
+        if tuple(firsts[n]) == tuple(last):
+            raise tied
+        return rows.filter(_up_to(order, last, dict(keys.dtypes)))
     last = _nth_key(keys, order, n)
     if last is None:
         return rows
     reached = _up_to(order, last, dict(keys.dtypes))
     if keys.filter(reached).count() > n:
-        raise ValueError(f"Rows number {n} and {n + 1} by {', '.join(order)} are tied; order by a further column.")
+        raise tied
     return rows.filter(reached)
 
 

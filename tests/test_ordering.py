@@ -182,3 +182,16 @@ def test_keyed_positions_equal_numpy_and_duckdb(spark):
     got = sorted(tuple(r) for r in Q.keyed_shuffle(spark, folder).collect())
     assert got == want
     assert sum(1 for r in got if r[3] == "test") == 100 and len({r[1] for r in got}) == 1000
+
+
+@pytest.mark.parametrize("first_on_driver", [0, 10_000])
+@pytest.mark.parametrize(("order", "n"), [(["id"], 123), (["v", "id"], 31), (["-v", "id"], 499), (["v", "-id"], 1)])
+def test_both_ways_to_the_last_key_agree(spark, monkeypatch, first_on_driver, order, n):
+    monkeypatch.setattr(ordering, "FIRST_ON_DRIVER", first_on_driver)
+    monkeypatch.setattr(ordering, "SORT_BELOW", 3)
+    monkeypatch.setattr(ordering, "RANGES", 4)
+    frame = keyed(spark, 500, 7).withColumn("v", F.when(F.col("id") % 17 > 0, F.col("v")))
+    directions = [F.col(c.removeprefix("-")).desc() if c.startswith("-") else F.col(c).asc() for c in order]
+    assert collected(ordering.head_n(frame, order, n)) == collected(frame.orderBy(*directions).limit(n))
+    with pytest.raises(ValueError, match="tied"):
+        ordering.head_n(keyed(spark, 500, 7), ["v"], 123)
