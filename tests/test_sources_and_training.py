@@ -396,3 +396,19 @@ def test_incremental_cache_tokenises_new_files_only(spark, tmp_path):
     got, built = prepare_incremental(spark, options)
     assert [b.rsplit("/", 1)[1] for b in built] == ["f1b.jsonl"]
     assert sorted((r.row_id, r.dataset, list(r.input_ids)) for r in got.collect()) == full()
+
+
+def test_file_heads_of_compressed_files(spark, tmp_path):
+    import gzip
+
+    from promptmill.sources.datasets import file_heads
+
+    folder = tmp_path / "packed"
+    folder.mkdir()
+    with gzip.open(folder / "a.json.gz", "wt") as out:
+        out.write('  [{"id": 1}, {"id": 2}]')
+    with gzip.open(folder / "b.jsonl.gz", "wt") as out:
+        out.write('{"id": 3}\n{"id": 4}\n')
+    heads = {r.file.rsplit("/", 1)[1]: r.head for r in file_heads(spark, str(folder)).collect()}
+    assert heads == {"a.json.gz": "[", "b.jsonl.gz": "{"}
+    assert sorted(r["id"] for r in read_dataset(spark, str(folder)).collect()) == [1, 2, 3, 4]
