@@ -2,6 +2,7 @@
 
 Every part is a clipped multiset match between a candidate and its reference. Each text
 is turned into items, items are counted per pair, and the counts are summed per corpus.
+N-grams of a pair in one row are counted inside the row, without a row for each of them.
 """
 
 from __future__ import annotations
@@ -11,9 +12,10 @@ from collections.abc import Sequence
 from functools import reduce
 from operator import and_
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from promptmill.functions.ngrams import SUMS, ngram_matches
 from promptmill.functions.pyparse import code_structure
 from promptmill.functions.text import split_words
 
@@ -30,19 +32,22 @@ EDGE = 2
 PARSES = 3
 
 
-def _spread(pairs: DataFrame, pair: Sequence[str], partitions: int | None) -> DataFrame:
-    """Both texts of each pair as rows, placed by ``pair``.
+def _placed_texts(pairs: DataFrame, pair: Sequence[str], partitions: int | None) -> DataFrame:
+    """The texts of each pair, placed by ``pair``.
 
     All counting below groups by ``pair`` and more, so Spark keeps this placement and
-    never shuffles the far larger item rows. The number of partitions is fixed (the
+    never shuffles the item rows. The number of partitions is fixed (the
     session's shuffle partitions by default), because merging partitions by the size of
     the texts would ignore how much they grow.
     """
-    texts = F.array(
+    return _place(pairs.select(*pair, "candidate", "reference"), pair, partitions)
+
+
+def _both_texts() -> Column:
+    return F.array(
         F.struct(F.lit(False).alias("is_reference"), F.col("candidate").alias("text")),
         F.struct(F.lit(True).alias("is_reference"), F.col("reference").alias("text")),
     )
-    return _place(pairs.select(*pair, F.inline(texts)), pair, partitions)
 
 
 def _place(rows: DataFrame, pair: Sequence[str], partitions: int | None) -> DataFrame:
@@ -65,31 +70,40 @@ def token_key(token: str) -> Column:
     return F.xxhash64(F.lit(token))
 
 
-def _ngram_rows(spread: DataFrame, pair: Sequence[str]) -> DataFrame:
-    """``kind, item0, item1`` rows, where kind n is an n-gram, as hashes of fixed width.
+def _ngram_rows(placed: DataFrame, pair: Sequence[str]) -> DataFrame:
+    """``_alone, kind, item0, item1`` rows, where kind n is an n-gram, as hashes of fixed width.
 
-    Where a text ends too early for an n-gram the item is null, and a blank text keeps one
-    row of nulls.
+    A pair in one row stays one row without an item, its texts in ``_alone``. The texts of a pair
+    in several rows, whose items must meet, are taken apart. There, where a text ends too early
+    for an n-gram the item is null, and a blank text keeps one row of nulls.
     """
-    words = spread.select(*pair, "is_reference", split_words("text").alias("words"))
+    alone = F.count(F.lit(1)).over(Window.partitionBy(*pair)) == 1
+    marked = placed.withColumn("_alone", F.when(alone, F.struct("candidate", "reference")))
+    single = F.col("_alone").isNotNull()
+    nothing = F.array(F.struct(F.lit(False).alias("is_reference"), F.lit(None).cast("string").alias("text")))
+    spread = marked.select(*pair, "_alone", F.inline(F.when(single, nothing).otherwise(_both_texts())))
+    words = spread.select(*pair, "_alone", "is_reference", split_words("text").alias("words"))
     shifted = [F.slice("words", n, F.size("words")).alias(f"w{n}") for n in NGRAM_KINDS]
-    placed = words.select(*pair, "is_reference", F.inline_outer(F.arrays_zip(*shifted)))
-    items = F.array(*[_item(n, *[F.col(f"w{k}") for k in NGRAM_KINDS[:n]]) for n in NGRAM_KINDS])
-    return placed.select(*pair, "is_reference", F.inline(items))
+    rows = words.select(*pair, "_alone", "is_reference", F.inline_outer(F.arrays_zip(*shifted)))
+    items = [_item(n, *[F.col(f"w{k}") for k in NGRAM_KINDS[:n]]) for n in NGRAM_KINDS]
+    return rows.select(
+        *pair, "_alone", "is_reference", F.inline(F.when(single, F.array(items[0])).otherwise(F.array(*items)))
+    )
 
 
-def _structure_rows(spread: DataFrame, pair: Sequence[str], partitions: int | None) -> DataFrame:
+def _structure_rows(placed: DataFrame, pair: Sequence[str], partitions: int | None) -> DataFrame:
     """``kind, item0, item1`` rows of subtrees and data-flow edges, and one if the text parses.
 
     Spark forgets a placement across a Python step, so it is renewed after the parser,
     while each text still is one row.
     """
+    spread = placed.select(*pair, F.inline(_both_texts()))
     parsed = spread.select(*pair, "is_reference", code_structure("text").alias("tree"))
     subtrees = F.transform("tree.subtrees", lambda item: _item(SUBTREE, item))
     edges = F.transform("tree.edges", lambda item: _item(EDGE, item))
     whole = F.array(_item(PARSES, F.when(F.col("tree.parses"), F.lit(""))))
-    placed = _place(parsed, pair, partitions)
-    return placed.select(*pair, "is_reference", F.inline_outer(F.concat(subtrees, edges, whole)))
+    trees = _place(parsed, pair, partitions)
+    return trees.select(*pair, "is_reference", F.inline_outer(F.concat(subtrees, edges, whole)))
 
 
 def _clipped(items: DataFrame, pair: Sequence[str], kinds: Sequence[int], weighted: bool) -> DataFrame:
@@ -127,13 +141,26 @@ def _clipped(items: DataFrame, pair: Sequence[str], kinds: Sequence[int], weight
 
 
 def pair_ngrams(pairs: DataFrame, pair: Sequence[str], partitions: int | None = None) -> DataFrame:
-    """Clipped n-gram matches of each pair, plain and keyword-weighted."""
-    return _clipped(_ngram_rows(_spread(pairs, pair, partitions), pair), pair, NGRAM_KINDS, True)
+    """Clipped n-gram matches of each pair, plain and keyword-weighted.
+
+    Pairs in several rows get their sums from item rows, the others from their texts.
+    """
+    rows = _ngram_rows(_placed_texts(pairs, pair, partitions), pair)
+    summed = _clipped(rows, [*pair, "_alone"], NGRAM_KINDS, True)
+    count = ngram_matches(ORDERS, KEYWORDS, PLAIN_TOKEN_WEIGHT)
+    counted = summed.withColumn("_own", count("_alone.candidate", "_alone.reference"))
+    single = F.col("_alone").isNotNull()
+    sums = [
+        F.when(single, F.col("_own")[n - 1][name]).otherwise(F.col(f"{name}{n}")).alias(f"{name}{n}")
+        for n in NGRAM_KINDS
+        for name in SUMS
+    ]
+    return counted.select(*pair, *sums)
 
 
 def pair_structure(pairs: DataFrame, pair: Sequence[str], partitions: int | None = None) -> DataFrame:
     """Clipped subtree and data-flow matches of each pair; c3 is 1 if the candidate parses."""
-    rows = _structure_rows(_spread(pairs, pair, partitions), pair, partitions)
+    rows = _structure_rows(_placed_texts(pairs, pair, partitions), pair, partitions)
     return _clipped(rows, pair, (SUBTREE, EDGE, PARSES), False)
 
 

@@ -152,6 +152,51 @@ def test_items_are_never_shuffled(spark):
     assert plan.count("Exchange") == 1
 
 
+def test_ngrams_of_a_pair_in_one_row_make_no_rows(spark):
+    """A text's n-grams, four a word, were rows; now a pair passes as a few rows of sums."""
+    text = "concat_ws(' ', transform(sequence(0, 4999), n -> concat('w', (n * id) % 997)))"
+    frame = spark.range(1, 41).selectExpr("id", f"{text} AS candidate", f"reverse({text}) AS reference")
+    sums = B.pair_ngrams(frame, ["id"], 1)
+    assert {r["c1"] for r in sums.collect()} == {5000}
+    nodes, rows = [sums._jdf.queryExecution().executedPlan()], []
+    while nodes:
+        node = nodes.pop()
+        if node.nodeName() == "AdaptiveSparkPlan":
+            nodes.append(node.executedPlan())
+            continue
+        if node.nodeName().endswith("QueryStage"):
+            nodes.append(node.plan())
+            continue
+        children = node.children()
+        nodes += [children.apply(n) for n in range(children.size())]
+        if node.nodeName() == "Generate":
+            rows.append(node.metrics().apply("numOutputRows").value())
+    assert rows and max(rows) <= 4 * 40
+
+
+def test_ngrams_of_repeated_and_null_pairs(spark):
+    """Rows of one pair are counted together; a null text has no words, blanks are Python's."""
+    rows = [
+        (1, "a b a if", "a a\u00a0b if"), (1, "a c", None), (1, "b", "b a if c"), (2, None, "x y"), (3, "", " \n"),
+        (None, "if a", "a if a"), (None, "a", "if"), (4, "p\u2003q\x1cr  p q", "q r p q r"), (5, "é é", "é e"),
+    ]
+    frame = spark.createDataFrame(rows, "id int, candidate string, reference string").repartition(4)
+    got = {r["id"]: r.asDict() for r in B.pair_ngrams(frame, ["id"], 3).collect()}
+    assert set(got) == {1, 2, 3, 4, 5, None}
+    for key, sums in got.items():
+        for n in range(1, 5):
+            cs, rs = Counter(), Counter()
+            for _, c, r in [row for row in rows if row[0] == key]:
+                for text, into in ((c, cs), (r, rs)):
+                    words = (text or "").split()
+                    into.update(tuple(words[i : i + n]) for i in range(len(words) - n + 1))
+            weight = lambda g: 0.2 if n == 1 and g[0] not in B.KEYWORDS else 1.0  # noqa: B023, E731
+            both = cs & rs
+            assert (sums[f"m{n}"], sums[f"c{n}"], sums[f"r{n}"]) == (both.total(), cs.total(), rs.total())
+            assert sums[f"wm{n}"] == pytest.approx(sum(v * weight(g) for g, v in both.items()))
+            assert sums[f"wr{n}"] == pytest.approx(sum(v * weight(g) for g, v in rs.items()))
+
+
 @pytest.mark.parametrize(("limit", "per_task"), [(1 << 20, 10), (0, 10), (0, 10**6)])
 def test_lookup_join_with_a_hot_key(spark, limit, per_task):
     large = spark.range(300).selectExpr("IF(id % 3 = 0, 0, id % 20) AS k", "id")
