@@ -50,6 +50,17 @@ def test_components(spark, shape):
 # --- fingerprints ---------------------------------------------------------------
 
 
+def test_components_leave_no_finished_rounds(spark, monkeypatch):
+    """Each round begins after the driver has dropped what the rounds before it left."""
+    from promptmill.sinks import scratch
+
+    calls, stored = [], scratch.stored_table
+    monkeypatch.setattr(scratch, "forget_finished", lambda session: calls.append("gc"))
+    monkeypatch.setattr(scratch, "stored_table", lambda rows: calls.append("round") or stored(rows))
+    components(spark.createDataFrame([(n, n + 1) for n in range(20)], "a bigint, b bigint")).count()
+    assert calls[0] == "round" and calls[1:] == ["gc", "round"] * (len(calls) // 2) and len(calls) > 4
+
+
 def shingles(text, words=5):
     parts = re.findall(r"[^\x20\x09-\x0D]+", text)
     return {tuple(parts[n : n + words]) for n in range(max(1, len(parts) - words + 1))} if parts else set()
