@@ -11,7 +11,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from promptmill.llm import fingerprints, lines, mixing, simhash, topk
+from promptmill.llm import fingerprints, lines, mixing, neardocs, simhash, topk
 from promptmill.llm.components import components
 from promptmill.llm.succession import with_successor
 
@@ -478,6 +478,22 @@ def test_near_dedup_recall(spark, documents):
     assert want <= got and len(got - want) <= 0.03 * (len(rows) - len(want)) and len(want) < 200
 
 
+def test_near_dedup_blocks(spark, documents, monkeypatch):
+    """Near fingerprints are candidates by their blocks of bits, whatever shingles the slots sample."""
+    monkeypatch.setattr(neardocs, "slots_of", lambda hashes: hashes[:1].view(np.int64) + np.int64(hashes.size))
+    chance = random.Random(31)
+    rows, at = [], 0
+    while len(rows) < 20:
+        words = [f"w{chance.randrange(5000)}" for _ in range(300)]
+        near = [*words, f"more{at}"]
+        at += 1
+        a, b = (neardocs.majority(np.unique(neardocs.shingle_hashes(" ".join(w), 5))) for w in (words, near))
+        if a != b and bin((a ^ b) & (1 << 64) - 1).count("1") <= 3:
+            rows += [(at, " ".join(words)), (1000 + at, " ".join(near))]
+    docs = documents([(*r, "en", "s", 1) for r in rows], extra=False)
+    assert {r.doc_id for r in corpus_pipeline.near_dedup(spark, docs, "").collect()} == {n for n, _ in rows if n < 1000}
+
+
 def test_near_dedup_awkward(spark, documents, awkward):
     kept = corpus_pipeline.near_dedup(spark, documents(awkward), "")
     assert kept.columns == documents(awkward).columns
