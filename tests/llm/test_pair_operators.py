@@ -167,6 +167,33 @@ def test_bounds_skip_exact_reads():
     assert (-score).tolist() == want and 0 not in found and Counting.read < 500
 
 
+def test_large_slots_across_turns(spark, monkeypatch):
+    """Slots that are cut by turns, and slots beyond the limit, lose no near pair."""
+    monkeypatch.setattr(simhash, "TURN_ROWS", 3)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    chance = random.Random(8)
+    points = {chance.getrandbits(63) for _ in range(6)}
+    for point in list(points):
+        points |= {point ^ 1 << chance.randrange(63) ^ 1 << chance.randrange(63) for _ in range(12)}
+    points = sorted(points)
+    slots = {p: [n for n in range(5) if n == 0 or chance.random() < 0.3] for p in points}
+    rows = spark.createDataFrame([(p, slots[p]) for p in points], "point bigint, slots array<int>")
+    want = Forest(points)
+    for a in points:
+        for b in points:
+            if bin(a ^ b).count("1") <= 3:
+                want.link(a, b)
+    try:
+        for limit in (9, 40, 1000):
+            got = Forest(points)
+            for a, b in simhash.near_links(rows, 3, limit, F.col("slots")).collect():
+                assert bin(a ^ b).count("1") <= 3 or want.root(a) == want.root(b)
+                got.link(a, b)
+            assert [got.root(p) for p in points] == [want.root(p) for p in points]
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
 # --- lines ----------------------------------------------------------------------
 
 
