@@ -7,11 +7,12 @@ from collections import defaultdict
 
 import corpus_pipeline
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from promptmill.llm import fingerprints, lines, mixing, neardocs, simhash, topk
+from promptmill.llm import edits, fingerprints, lines, mixing, neardocs, simhash, topk
 from promptmill.llm.components import components
 from promptmill.llm.succession import with_successor
 
@@ -214,6 +215,81 @@ def test_edit_distance():
         assert lines.edit_distance(a, b) == plain_distance(a, b)
 
 
+def test_edits_side_by_side(monkeypatch):
+    """Blocks of pairs, of any size, against the distance of each pair."""
+    chance = random.Random(3)
+    texts = [""]
+    for _ in range(60):
+        letters = [chance.choice("abc é\U0001f600") for _ in range(chance.choice((1, 5, 30, 120)))]
+        texts.append("".join(letters))
+        for _ in range(chance.choice((0, 1, 4, 12))):
+            letters[chance.randrange(len(letters))] = chance.choice(("", "q", "xy"))
+        texts.append("".join(letters))
+    letters, starts = edits.letters_of(texts)
+    pairs = [(n, n + 1) for n in range(len(texts) - 1)]
+    pairs += [(chance.randrange(len(texts)), chance.randrange(len(texts))) for _ in range(300)]
+    first, second = np.array(pairs).T
+    allowed = np.array([chance.choice((0, 1, 3, 9, 30, 240)) for _ in pairs])
+    distances = np.array([lines.edit_distance(texts[a], texts[b]) for a, b in pairs])
+    for chars, cells in ((1 << 19, 1 << 15), (900, 100)):
+        monkeypatch.setattr(edits, "BLOCK_CHARS", chars)
+        monkeypatch.setattr(edits, "BLOCK_CELLS", cells)
+        assert (edits.within_edits(letters, starts, first, second, allowed) == (distances <= allowed)).all()
+
+
+def test_verified_in_slices(monkeypatch):
+    """Many groups go through a task in small slices of text, one group at a time at least."""
+    taken = []
+
+    def alike(texts):
+        taken.append(sum(map(len, texts)))
+        return lines.edits_alike(0.9)(texts)
+
+    monkeypatch.setattr(lines, "VERIFIED_BYTES", 2000)
+    chance = random.Random(5)
+    groups = [["".join(chance.choice("abcdefgh ") for _ in range(100))] for _ in range(80)]
+    for group in groups:
+        group += [group[0][:50] + "#" * edits_ + group[0][50 + edits_ :] for edits_ in (4, 10, 40)]
+    group = pa.array(
+        [[{"key": t.encode(), "simhash": 0, "text": t, "share": 0} for t in g] for g in groups],
+        pa.list_(pa.struct([("key", pa.binary()), ("simhash", pa.int64()), ("text", pa.string()), ("share", pa.int32())])),
+    )
+    batch = pa.RecordBatch.from_arrays([pa.array([True] * 80), group], ["inside", "lines"])
+    found = []
+    for part in lines._group_slices(batch):
+        items, sizes = part.column("lines").flatten(), np.full(part.num_rows, 4)
+        blocks = lines._near_in_groups(items.field("simhash").to_numpy().view(np.uint64), sizes, 3)
+        texts = items.field("text").to_pylist()
+        found += [(texts[a], texts[b]) for a, b in lines._connecting(blocks, len(texts), alike(texts)).tolist()]
+    assert len(taken) > 10 and max(taken) <= 2400
+    want, got = Forest(t for g in groups for t in g), Forest(t for g in groups for t in g)
+    for a, b in found:
+        got.link(a, b)
+    for g in groups:
+        for a in g:
+            for b in g:
+                if lines.similar(a, b, 0.9):
+                    want.link(a, b)
+    nodes = list(want.up)
+    assert [got.root(n) for n in nodes] == [want.root(n) for n in nodes] and len(found) == 160
+
+
+def test_near_pairs_of_a_large_group_come_in_blocks(monkeypatch):
+    """A group of near copies never has all its pairs in memory, and none is left out."""
+    monkeypatch.setattr(lines, "PAIRS_AT_ONCE", 1000)
+    marks = np.random.default_rng(4).integers(0, 8, 330).astype(np.uint64)
+    sizes = np.array([2, 300, 1, 2, 25])
+    blocks = list(lines._near_in_groups(marks, sizes, 3))
+    assert max(a.size for a, _, _ in blocks) <= 1000
+    want, begin = [], 0
+    for size in sizes.tolist():
+        want += [(a, b) for a in range(begin, begin + size) for b in range(a + 1, begin + size)]
+        begin += size
+    assert sorted((a, b) for first, second, _ in blocks for a, b in zip(first.tolist(), second.tolist())) == want
+    links = lines._connecting(iter(blocks), 330, lambda a, b: (a - b) % 7 == 0)
+    assert len(links) == 293 + 18
+
+
 def plain_lines(rows):
     """Texts without repeated lines, from all pairs of lines; rows are (doc_id, text)."""
     places, texts = defaultdict(list), {}
