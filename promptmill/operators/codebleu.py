@@ -30,6 +30,8 @@ NGRAM_KINDS = tuple(range(1, ORDERS + 1))
 SUBTREE = 1
 EDGE = 2
 PARSES = 3
+# Whether a pair is in one row, and then its texts.
+ALONE = ("_single", "_candidate", "_reference")
 
 
 def _placed_texts(pairs: DataFrame, pair: Sequence[str], partitions: int | None) -> DataFrame:
@@ -71,23 +73,25 @@ def token_key(token: str) -> Column:
 
 
 def _ngram_rows(placed: DataFrame, pair: Sequence[str]) -> DataFrame:
-    """``_alone, kind, item0, item1`` rows, where kind n is an n-gram, as hashes of fixed width.
+    """``ALONE, kind, item0, item1`` rows, where kind n is an n-gram, as hashes of fixed width.
 
-    A pair in one row stays one row without an item, its texts in ``_alone``. The texts of a pair
-    in several rows, whose items must meet, are taken apart. There, where a text ends too early
+    A pair in one row stays one row without an item, its texts beside it: as plain columns, because
+    in a struct each row of a task's later steps takes up as much as long ones, in memory and on
+    disk. The texts of a pair in several rows, whose items must meet, are taken apart. There, where a text ends too early
     for an n-gram the item is null, and a blank text keeps one row of nulls.
     """
     alone = F.count(F.lit(1)).over(Window.partitionBy(*pair)) == 1
-    marked = placed.withColumn("_alone", F.when(alone, F.struct("candidate", "reference")))
-    single = F.col("_alone").isNotNull()
+    marked = placed.withColumn("_single", alone)
+    marked = marked.withColumns({f"_{side}": F.when(F.col("_single"), F.col(side)) for side in ("candidate", "reference")})
+    single = F.col("_single")
     nothing = F.array(F.struct(F.lit(False).alias("is_reference"), F.lit(None).cast("string").alias("text")))
-    spread = marked.select(*pair, "_alone", F.inline(F.when(single, nothing).otherwise(_both_texts())))
-    words = spread.select(*pair, "_alone", "is_reference", split_words("text").alias("words"))
+    spread = marked.select(*pair, *ALONE, F.inline(F.when(single, nothing).otherwise(_both_texts())))
+    words = spread.select(*pair, *ALONE, "is_reference", split_words("text").alias("words"))
     shifted = [F.slice("words", n, F.size("words")).alias(f"w{n}") for n in NGRAM_KINDS]
-    rows = words.select(*pair, "_alone", "is_reference", F.inline_outer(F.arrays_zip(*shifted)))
+    rows = words.select(*pair, *ALONE, "is_reference", F.inline_outer(F.arrays_zip(*shifted)))
     items = [_item(n, *[F.col(f"w{k}") for k in NGRAM_KINDS[:n]]) for n in NGRAM_KINDS]
     return rows.select(
-        *pair, "_alone", "is_reference", F.inline(F.when(single, F.array(items[0])).otherwise(F.array(*items)))
+        *pair, *ALONE, "is_reference", F.inline(F.when(single, F.array(items[0])).otherwise(F.array(*items)))
     )
 
 
@@ -146,10 +150,10 @@ def pair_ngrams(pairs: DataFrame, pair: Sequence[str], partitions: int | None =
     Pairs in several rows get their sums from item rows, the others from their texts.
     """
     rows = _ngram_rows(_placed_texts(pairs, pair, partitions), pair)
-    summed = _clipped(rows, [*pair, "_alone"], NGRAM_KINDS, True)
+    summed = _clipped(rows, [*pair, *ALONE], NGRAM_KINDS, True)
     count = ngram_matches(ORDERS, KEYWORDS, PLAIN_TOKEN_WEIGHT)
-    counted = summed.withColumn("_own", count("_alone.candidate", "_alone.reference"))
-    single = F.col("_alone").isNotNull()
+    counted = summed.withColumn("_own", count("_candidate", "_reference"))
+    single = F.col("_single")
     sums = [
         F.when(single, F.col("_own")[n - 1][name]).otherwise(F.col(f"{name}{n}")).alias(f"{name}{n}")
         for n in NGRAM_KINDS
