@@ -75,10 +75,10 @@ def token_key(token: str) -> Column:
 def _ngram_rows(placed: DataFrame, pair: Sequence[str]) -> DataFrame:
     """``ALONE, kind, item0, item1`` rows, where kind n is an n-gram, as hashes of fixed width.
 
-    A pair in one row stays one row without an item, its texts beside it: as plain columns, because
-    in a struct each row of a task's later steps takes up as much as long ones, in memory and on
-    disk. The texts of a pair in several rows, whose items must meet, are taken apart. There, where a text ends too early
-    for an n-gram the item is null, and a blank text keeps one row of nulls.
+    A pair in one row stays one row without an item, its texts beside it as plain columns: with a
+    struct of them, rows took up many times their size on disk. The texts of a pair in several
+    rows, whose items must meet, are taken apart. There, where a text ends too early for an
+    n-gram the item is null, and a blank text keeps one row of nulls.
     """
     alone = F.count(F.lit(1)).over(Window.partitionBy(*pair)) == 1
     marked = placed.withColumn("_single", alone)
